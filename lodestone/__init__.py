@@ -1 +1,11 @@
-"""Spark-native key-value analytics."""
+"""Spark-native key-value analytics.
+
+Functions that run in Python workers are pickled by value, so that executors
+need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
