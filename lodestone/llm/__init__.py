@@ -1,11 +1 @@
-"""Operators for preparing training data at corpus scale.
-
-Nothing else in the package imports this subpackage.  Functions that run in
-Python workers are pickled by value, so a cluster needs no copy of it.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for preparing training data at corpus scale; nothing else in the package imports them."""

@@ -27,39 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BASE2, U, blocks, covered, gather, rolling, span_hash, utf8, window_mask, words
+from ._bytes import BASE2, U, covered, gather, rolling, span_hash, window_mask, words
+from ._chunks import bucket_count, buckets, by_bucket, chunked, opened
 from ._common import durable
 
 WINDOW = 35
-CHUNK = 1 << 22
-#: Hashes that one bucket holds at about most, and buckets at least.
-BUCKET, LEAST_BUCKETS = 1 << 23, 24
-
-
-def _chunks(docs: DataFrame, id_type: str) -> DataFrame:
-    """chunk, ids, ends (byte offsets), body (compressed), n_words."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        task, seq = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            data, off = utf8(batch.column(1))
-            ids = batch.column(0)
-            for a, b in blocks(off, CHUNK):
-                part, own = data[off[a] : off[b]], off[a : b + 1] - off[a]
-                body = pa.compress(part.tobytes(), "zstd", asbytes=True) if len(part) else b""
-                n = int(words(part, own)[2][-1])
-                lists = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | seq], pa.int64()), lists, pa.array([own[1:]], pa.list_(pa.int64())), pa.array([body], pa.binary()), pa.array([n], pa.int64())], ["chunk", "ids", "ends", "body", "n_words"])
-                seq += 1
-
-    return docs.mapInArrow(run, f"chunk bigint, ids array<{id_type}>, ends array<bigint>, body binary, n_words bigint")
 
 
 def _open(ends, body):
-    off = np.concatenate([[0], np.asarray(ends, np.int64)])
-    data = np.frombuffer(pa.decompress(body, decompressed_size=int(off[-1]), codec="zstd", asbytes=True), np.uint8) if off[-1] else np.zeros(0, np.uint8)
+    data, off = opened(ends, body)
     start, end, word_off = words(data, off)
     return data, off, start, end, word_off, span_hash(data, start, end)
 
@@ -71,11 +47,6 @@ def _anchors(word_off: np.ndarray, block: int) -> np.ndarray:
     return first + block * (np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count))
 
 
-def _buckets(value: np.ndarray, n: int) -> np.ndarray:
-    """Bucket by the high bits, whatever n is."""
-    return (((value >> U(32)) * U(n)) >> U(32)).astype(np.int64)
-
-
 def _probe(block: int, n_buckets: int):
     """Per chunk and bucket: hashes of its blocks with their numbers, and of all rolling windows."""
 
@@ -86,7 +57,7 @@ def _probe(block: int, n_buckets: int):
                 window = rolling(value, block)
                 at = _anchors(word_off, block)
                 own, every = window[at], window[window_mask(word_off, block)[: len(window)]]
-                own_bucket, bucket = _buckets(own, n_buckets), _buckets(every, n_buckets)
+                own_bucket, bucket = buckets(own, n_buckets), buckets(every, n_buckets)
                 short = every.astype(np.uint32)
                 full = np.sort(bucket.astype(U) << U(32) | short.astype(U))
                 first = np.ones(len(full), bool)
@@ -122,19 +93,9 @@ def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[at] == values
 
 
-def _by_bucket(batches):
-    held: dict[int, list] = {}
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for row in zip(*columns):
-            held.setdefault(row[0], []).append(row[1:])
-    while held:
-        yield held.popitem()
-
-
 def _find_anchors(batches):
     """Numbers of a chunk's blocks that a second position matches."""
-    for _, rows in _by_bucket(batches):
+    for _, rows in by_bucket(batches):
         probes = [np.frombuffer(r[3], "<u4") for r in rows]
         again = [np.unpackbits(np.frombuffer(r[4], np.uint8), count=len(p)).astype(bool) for r, p in zip(rows, probes)]
         listed = _repeated(probes, again)
@@ -159,7 +120,7 @@ def _extended(word_off, value, numbers, block: int, n_buckets: int):
     starts = starts[starts >= np.repeat(word_off[owner], block)]
     starts = starts[window_mask(word_off, size)[starts]]
     hashed, other = rolling(value, size)[starts], rolling(value, size, BASE2)[starts]
-    bucket = _buckets(other, n_buckets)
+    bucket = buckets(other, n_buckets)
     order = np.lexsort((hashed, bucket))
     h, b = hashed[order], bucket[order]
     fresh = np.ones(len(h), bool)
@@ -186,7 +147,7 @@ def _windows(block: int, n_buckets: int):
 
 
 def _match(batches):
-    for bucket, rows in _by_bucket(batches):
+    for bucket, rows in by_bucket(batches):
         values = [np.frombuffer(r[1], "<u8") for r in rows]
         again = [np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(v)).astype(bool) for r, v in zip(rows, values)]
         listed = _repeated(values, again)
@@ -238,19 +199,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
     if window % 2 == 0 or window < 3:
         raise ValueError("window must be odd, so that it holds one whole block")
     block = (window + 1) // 2
-    spark, id_type = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
-    chunks = durable(_chunks(docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")), id_type), "chunks")
-    total = chunks.agg(F.sum("n_words")).first()[0] or 0
-    least = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_buckets = max(least, -(-total // BUCKET))
+    id_type = docs.schema[id_column].dataType.simpleString()
+    chunks = chunked(docs, id_column, text_column)
+    n_buckets = bucket_count(chunks)
     body = chunks.select("chunk", "ends", "body")
 
     probes = body.mapInArrow(_probe(block, n_buckets), "bucket bigint, chunk bigint, own binary, number binary, probes binary, again binary")
     hits = probes.repartition(n_buckets, "bucket").mapInArrow(_find_anchors, "chunk bigint, numbers binary")
     anchors = durable(hits.groupBy("chunk").agg(F.collect_list("numbers").alias("numbers")), "anchors")  # at most a chunk's blocks
 
-    opened = body.join(anchors, "chunk").select("chunk", "ends", "body", "numbers")
-    sent = opened.mapInArrow(_windows(block, n_buckets), "bucket bigint, chunk bigint, values binary, again binary")
+    hit = body.join(anchors, "chunk").select("chunk", "ends", "body", "numbers")
+    sent = hit.mapInArrow(_windows(block, n_buckets), "bucket bigint, chunk bigint, values binary, again binary")
     matched = sent.repartition(n_buckets, "bucket").mapInArrow(_match, "chunk bigint, bucket bigint, bits binary")
     found = durable(matched.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")), "found")  # at most a chunk's windows, in bits
 
