@@ -16,6 +16,8 @@ BASE, BASE2, MIX = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED5
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column, end to end, and n + 1 offsets; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = pc.fill_null(column.cast(pa.large_string()), "")
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)

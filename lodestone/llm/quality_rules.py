@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import U, blocks, covered, mix, rolling, span_hash, utf8, window_mask, words
 
@@ -255,8 +256,8 @@ def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[k]) for k in names], pa.array(failed), pa.array(np.exp2(bits)), pa.array(~failed & inside)], ["row", *names, "base_failed", "perplexity", "kept"])
 
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
-    schema = f"row {given.schema['row'].dataType.simpleString()}, {', '.join(f'{k} bigint' for k in names)}, base_failed boolean, perplexity double, kept boolean"
-    return given.mapInArrow(run, schema)
+    fields = [("row", given.schema["row"].dataType), *[(k, T.LongType()) for k in names], ("base_failed", T.BooleanType()), ("perplexity", T.DoubleType()), ("kept", T.BooleanType())]
+    return given.mapInArrow(run, T.StructType([T.StructField(k, t) for k, t in fields]))
 
 
 def verdicts(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
