@@ -23,7 +23,7 @@ def read(spark: SparkSession, path: str, schema: str = EVENT, files_per_trigger:
 
 
 def sessions(events: DataFrame, gap_us: int, lateness: str, key: str = "key") -> DataFrame:
-    window = F.session_window("timestamp", f"{gap_us + 1} microseconds")
+    window = F.session_window("timestamp", f"{gap_us} microseconds")
     grouped = events.withWatermark("timestamp", lateness).groupBy(key, window)
     return grouped.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count(F.lit(1)).alias("n")).select(key, "first", "last", "n")
 

@@ -86,7 +86,9 @@ def sliding(events: DataFrame, size_us: int, slide_us: int = 0, time: str = "ts"
 def sessions(events: DataFrame, gap_us: int, key: str | None = None, time: str = "ts") -> DataFrame:
     """key, start, end, n: a new session where the gap is more than ``gap_us``; it ends with its last event."""
     rows = _keyed(events, key, time).withColumn("t", F.timestamp_micros("us"))
-    window = F.session_window("t", f"{gap_us + 1} microseconds")
+    if gap_us <= 0:  # equal times are one row already
+        return rows.select("key", F.col("us").alias("start"), F.col("us").alias("end"), "n")
+    window = F.session_window("t", f"{gap_us} microseconds")  # sessions that touch are merged
     return rows.groupBy("key", window).agg(F.min("us").alias("start"), F.max("us").alias("end"), F.sum("n").alias("n")).select("key", "start", "end", "n")
 
 
