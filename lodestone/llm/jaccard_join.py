@@ -1,8 +1,8 @@
 """Operator 9: set-similarity join of word shingles by token-combination prefixes.
 
-Texts with equal shingle sets form one class.  Shingles are ordered rare ones
-first, frequent ones last (by a fixed-size counter table over all documents).
-If two sets overlap in at least k tokens more than their suffixes hold, their
+Texts with equal shingle sets form one class.  Shingles are ordered by document
+frequency, rarest first; buckets of hashes count it and answer each chunk of
+texts with a byte per shingle.  If two sets overlap in at least k tokens more than their suffixes hold, their
 first k common tokens lie in both prefixes; so a class is indexed by every rare
 token of its plain prefix and, where that runs into frequent tokens, by every
 pair of frequent tokens of the prefix extended by one.  Classes that share an
@@ -27,17 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import U, blocks, mix, rolling, span_hash, utf8, words
+from ._chunks import CHUNK, CHUNK_DOCS, bucket_count, buckets, by_bucket, chunked, opened
 from ._common import durable
 from .components import components
 
-#: Bits of a token: the rest of 64 numbers the documents of a block while sorting.
+#: Bits of a token: the rest of 64 numbers the documents of a chunk while sorting.
 TOKEN_BITS = 52
-SMALL_TEXT, DOCS = 1 << 22, 1 << (64 - TOKEN_BITS)
-#: Counters of the frequency table, and from which count a token is frequent: both
-#: this one and a multiple of the mean.
-COUNTERS, FREQUENT, TIMES_MEAN, CHUNK = 1 << 18, 4096, 8, 1 << 12
+#: Powers of two of the document frequency from which on tokens are frequent.
+FREQUENT = 12
+#: Bits of a set's parities: at least these, and at least its size.
 PARITY = 1024
 #: Members of an index entry that one group compares; larger entries are split.
 BLOCK = 1024
@@ -54,118 +55,162 @@ def _lower() -> np.ndarray:
 LOWER = _lower()
 
 
-def sets(column, size: int):
-    """For blocks of a text column: first row, tokens of all sets (ascending in each), offsets."""
-    data, off = utf8(column)
+def sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the sets of at most 2**12 documents, ascending in each, and their offsets."""
+    docs = len(off) - 1
     data = LOWER[data]
-    for first, last in blocks(off, SMALL_TEXT):
-        for a in range(first, last, DOCS):
-            b = min(a + DOCS, last)
-            part, own = data[off[a] : off[b]], off[a : b + 1] - off[a]
-            start, end, word_off = words(part, own)
-            value = span_hash(part, start, end)
-            window = rolling(value, size)
-            count = np.diff(word_off)
-            doc = np.repeat(np.arange(b - a), np.maximum(count - size + 1, 0))
-            inside = np.maximum(count - size + 1, 0)
-            at = np.repeat(word_off[:-1] - (np.cumsum(inside) - inside), inside) + np.arange(len(doc))
-            token = window[at] if len(at) else np.zeros(0, U)
-            short = np.flatnonzero((count > 0) & (count < size))
-            if len(short):  # the whole sequence as one shingle
-                whole = [mix(rolling(value[word_off[i] : word_off[i + 1]], int(count[i])) + U(count[i])) for i in short]
-                doc, token = np.concatenate([doc, short]), np.concatenate([token, *whole])
-            key = np.unique(doc.astype(U) << U(TOKEN_BITS) | token >> U(64 - TOKEN_BITS))
-            yield a, key & U((1 << TOKEN_BITS) - 1), np.searchsorted((key >> U(TOKEN_BITS)).astype(np.int64), np.arange(b - a + 1))
-
-
-def frequent_mask(texts: DataFrame, size: int) -> np.ndarray:
-    """Packed bits: which counters stand for frequent tokens."""
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, token, _ in sets(batch.column(0), size):
-                total += np.bincount((mix(token) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        if total.any():
-            parts = total.reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
-
-    def add(batches):
-        total: dict = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(counts, np.int64)
-                total[chunk] = total[chunk] + own if chunk in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
+    start, end, word_off = words(data, off)
+    value = span_hash(data, start, end)
+    window = rolling(value, size)
+    count = np.diff(word_off)
+    inside = np.maximum(count - size + 1, 0)
+    doc = np.repeat(np.arange(docs), inside)
+    at = np.repeat(word_off[:-1] - (np.cumsum(inside) - inside), inside) + np.arange(len(doc))
+    token = window[at] if len(at) else np.zeros(0, U)
+    short = np.flatnonzero((count > 0) & (count < size))
+    if len(short):  # the whole sequence as one shingle
+        whole = [mix(rolling(value[word_off[i] : word_off[i + 1]], int(count[i])) + U(count[i])) for i in short]
+        doc, token = np.concatenate([doc, short]), np.concatenate([token, *whole])
+    key = np.unique(doc.astype(U) << U(TOKEN_BITS) | token >> U(64 - TOKEN_BITS))
+    return key & U((1 << TOKEN_BITS) - 1), np.searchsorted((key >> U(TOKEN_BITS)).astype(np.int64), np.arange(docs + 1))
+
+
+def column_sets(column, size: int):
+    """The sets of a text column, chunk after chunk."""
+    data, off = utf8(column)
+    for first, last in blocks(off, CHUNK):
+        for a in range(first, last, CHUNK_DOCS):
+            b = min(a + CHUNK_DOCS, last)
+            yield sets(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
+
 
-    schema = "chunk bigint, counts binary"
-    rows = texts.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect()  # COUNTERS numbers
-    total = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
-    for r in rows:
-        total[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return np.packbits((total >= FREQUENT) & (total >= TIMES_MEAN * total.mean()))
+def _distinct(token: np.ndarray, n_buckets: int):
+    """Distinct (bucket, 32-bit hash) of tokens in order, each token's place in it, and how many share it."""
+    h = mix(token * U(7) + U(3))
+    return np.unique(buckets(h, n_buckets).astype(U) << U(32) | h & U(0xFFFFFFFF), return_inverse=True, return_counts=True)
+
+
+def _sent(size: int, n_buckets: int):
+    """Per chunk and bucket: hashes of tokens and how many of the chunk's documents have them."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, ends, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                value, _, count = _distinct(sets(*opened(ends, body), size)[0], n_buckets)
+                cut = np.searchsorted((value >> U(32)).astype(np.int64), np.arange(n_buckets + 1))
+                some = np.flatnonzero(np.diff(cut))
+                values = [value[cut[k] : cut[k + 1]].astype("<u4").tobytes() for k in some]
+                counts = [count[cut[k] : cut[k + 1]].astype("<u2").tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array(values, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "chunk", "values", "counts"])
+
+    return run
+
+
+def _summed(batches):
+    """For each hash that a chunk sent, the power of two of its document frequency."""
+    for bucket, rows in by_bucket(batches):
+        values = [np.frombuffer(r[1], "<u4") for r in rows]
+        every = np.concatenate(values)
+        order = np.argsort(every, kind="stable")
+        fresh = np.ones(len(every), bool)
+        fresh[1:] = every[order][1:] != every[order][:-1]
+        group = np.cumsum(fresh) - 1
+        total = np.bincount(group, weights=np.concatenate([np.frombuffer(r[2], "<u2") for r in rows])[order])
+        power = np.empty(len(every), np.uint8)
+        power[order] = (np.frexp(total)[1] - 1).astype(np.uint8)[group]
+        cut = np.cumsum([0, *map(len, values)])
+        found = [power[cut[i] : cut[i + 1]].tobytes() for i in range(len(rows))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(found, pa.binary())], ["chunk", "bucket", "powers"])
 
 
 def set_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def signatures(token: np.ndarray, off: np.ndarray, is_frequent: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Index entries of each set."""
+def signatures(token: np.ndarray, power: np.ndarray, off: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Index entries of each set; a token that no other document has takes its place in the prefix, but is no entry."""
     n = np.diff(off)
     need = (percent * n + 99) // 100
     prefix = np.where(100 * n >= percent * (n + 1), n - need + 1, 0)  # smaller sets link with equal ones only
     doc = np.repeat(np.arange(len(n)), n)
-    rare = ~is_frequent
-    before = np.zeros(len(token) + 1, np.int64)
-    np.cumsum(rare, out=before[1:])
-    rank = before[:-1] - before[off[:-1]][doc]
-    taken = rare & (rank < prefix[doc])
-    single = mix(token[taken] ^ U(0x5851F42D4C957F2D))
+    order = np.lexsort((token, power, doc))  # rarest first
+    token, power = token[order], power[order]
+    first = np.arange(len(token)) - off[:-1][doc] < prefix[doc]
+    taken = first & (power > 0) & (power < FREQUENT)
+    single = mix(token ^ U(0x5851F42D4C957F2D))
     cut = np.searchsorted(np.flatnonzero(taken), off)
+    single = single[taken]
     out = [single[cut[i] : cut[i + 1]] for i in range(len(n))]
-    for i in np.flatnonzero(np.diff(cut) < prefix):  # the prefix runs into frequent tokens: pairs of them
-        own = token[off[i] : off[i + 1]][is_frequent[off[i] : off[i + 1]]][: prefix[i] - (cut[i + 1] - cut[i]) + 1]
+    for i in np.unique(doc[first & (power >= FREQUENT)]):  # the prefix runs into frequent tokens: pairs of them, one token further
+        reach = slice(off[i], off[i] + min(prefix[i] + 1, n[i]))
+        own = token[reach][power[reach] >= FREQUENT]
         if len(own) > 1:
             a, b = np.array(list(combinations(range(len(own)), 2))).T
             out[i] = np.concatenate([out[i], mix(mix(own[a]) * U(3) + own[b])])
     return out
 
 
-def _shingled(docs: DataFrame, size: int, percent: int, mask: np.ndarray, id_type: str) -> DataFrame:
+def parities(token: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Per set, whether an odd number of tokens falls on each place; places are a power of two.
+
+    Halving the places folds the upper half onto the lower one by exclusive or.
+    """
+    n = np.diff(off)
+    size = np.full(len(n), PARITY)
+    large = n > PARITY
+    size[large] = 1 << np.ceil(np.log2(n[large])).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(size)])
+    doc = np.repeat(np.arange(len(n)), n)
+    place = (mix(token * U(5) + U(1)) & (size[doc] - 1).astype(U)).astype(np.int64)
+    odd = (np.bincount(base[doc] + place, minlength=base[-1]) & 1).astype(np.uint8)
+    packed = np.packbits(odd)
+    return [packed[a >> 3 : b >> 3].tobytes() for a, b in zip(base[:-1], base[1:])]
+
+
+def _shingled(size: int, percent: int, n_buckets: int):
     """id, n, key, parity, entries of every document; key is null for empty sets."""
 
     def run(batches):
-        frequent = np.unpackbits(mask).astype(bool)
         for batch in batches:
-            n, keys, parity, entries = [], [], [], []
-            for _, token, off in sets(batch.column(1), size):
-                counts = np.diff(off)
-                n.append(counts)
-                keys += [set_key(token[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:])]
-                bit = (mix(token * U(5) + U(1)) & U(PARITY - 1)).astype(np.int64)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                for lo in range(0, len(counts), 512):
-                    span = slice(off[lo], off[min(lo + 512, len(counts))])
-                    rows = min(512, len(counts) - lo)
-                    odd = np.bincount((doc[span] - lo) * PARITY + bit[span], minlength=rows * PARITY) & 1
-                    parity += [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(rows, PARITY), axis=1)]
-                entries += signatures(token, off, frequent[(mix(token) & U(COUNTERS - 1)).astype(np.int64)], percent)
-            count = np.concatenate([np.zeros(0, np.int64), *n])
-            flat = np.concatenate([np.zeros(0, U), *entries]).astype(np.int64)
-            bounds = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(keys, pa.binary()), pa.array(parity, pa.binary()), lists], ["id", "n", "key", "parity", "entries"])
-
-    return docs.mapInArrow(run, f"id {id_type}, n bigint, key binary, parity binary, entries array<bigint>")
-
-
-def _close(rows_n, rows_parity, i, j, percent: int) -> np.ndarray:
-    """Pairs that the parities do not rule out."""
-    apart = np.bitwise_count(rows_parity[i] ^ rows_parity[j]).sum(axis=1, dtype=np.int64)
-    total = rows_n[i] + rows_n[j]
-    apart = np.maximum(apart, np.abs(rows_n[i] - rows_n[j]))
-    return (100 - percent) * total >= (100 + percent) * apart
+            lists = batch.column(0)
+            for row, (ends, body, found) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 4)))):
+                token, off = sets(*opened(ends, body), size)
+                value, place, _ = _distinct(token, n_buckets)
+                powers = np.zeros(len(value), np.uint8)
+                cut = np.searchsorted((value >> U(32)).astype(np.int64), np.arange(n_buckets + 1))
+                for own in found or ():
+                    powers[cut[own["bucket"]] : cut[own["bucket"] + 1]] = np.frombuffer(own["powers"], np.uint8)
+                entries = signatures(token, powers[place.reshape(-1)], off, percent)
+                keys = [set_key(token[a:b]) if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+                flat = np.concatenate([np.zeros(0, U), *entries]).astype(np.int64)
+                bounds = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
+                columns = [lists[row].values, pa.array(np.diff(off), pa.int64()), pa.array(keys, pa.binary()), pa.array(parities(token, off), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))], ["id", "n", "key", "parity", "entries"])
+
+    return run
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Places in which two parities differ, the longer one folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _close(n, parity, large, i, j, percent: int) -> np.ndarray:
+    """Pairs that sizes and parities do not rule out: the sets' symmetric difference is no less than either tells."""
+    total = n[i] + n[j]
+    out = (100 - percent) * total >= (100 + percent) * np.abs(n[i] - n[j])
+    at = np.flatnonzero(out)
+    apart = np.bitwise_count(parity[i[at]] ^ parity[j[at]]).sum(axis=1, dtype=np.int64)
+    out[at] = (100 - percent) * total[at] >= (100 + percent) * apart
+    for k in np.flatnonzero(out):
+        x, y = int(i[k]), int(j[k])
+        if x in large and y in large:
+            out[k] = (100 - percent) * int(total[k]) >= (100 + percent) * _apart(large[x], large[y])
+    return out
 
 
 def _candidates(percent: int, across: bool):
@@ -180,7 +225,10 @@ def _candidates(percent: int, across: bool):
         size = np.bincount(group)
         left = np.repeat(np.cumsum(size), size) - np.arange(len(group))  # members from here to the group's end
         n = table["n"]
-        parity = np.frombuffer(b"".join(table["parity"]), U).reshape(len(n), -1)
+        words_of = PARITY // 64
+        whole = [np.frombuffer(p, U) for p in table["parity"]]
+        large = {k: p for k, p in enumerate(whole) if len(p) > words_of}
+        parity = np.stack([p if len(p) == words_of else np.bitwise_xor.reduce(p.reshape(-1, words_of)) for p in whole])
         for step in range(1, int(size.max())):
             for part in np.array_split(np.flatnonzero(left > step), max(1, int((left > step).sum()) >> 16)):
                 i, j = part, part + step
@@ -188,7 +236,7 @@ def _candidates(percent: int, across: bool):
                 if across:
                     ok &= table["root"][i] != table["root"][j]
                 i, j = i[ok], j[ok]
-                good = _close(n, parity, i, j, percent)
+                good = _close(n, parity, large, i, j, percent)
                 yield i[good], j[good]
 
     def arrow(batches):
@@ -260,16 +308,17 @@ def _node_filter(nodes: DataFrame) -> np.ndarray:
     return table.view(U)
 
 
-def _verified(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(edges: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b, ok: whether the whole sets of each edge reach the similarity."""
     nodes = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
-    shared = texts.sparkSession.sparkContext.broadcast(_node_filter(nodes))
+    shared = body.sparkSession.sparkContext.broadcast(_node_filter(nodes))
 
     def run(batches):
         listed = shared.value
         for batch in batches:
             found, own = [], []
-            for _, token, off in sets(batch.column(0), size):
+            for ends, chunk in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                token, off = sets(*opened(ends, chunk), size)
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                     if b > a:
                         key = set_key(token[a:b])
@@ -279,7 +328,7 @@ def _verified(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                             own.append(token[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(own, pa.binary())], ["key", "tokens"])
 
-    found = texts.mapInArrow(run, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    found = body.mapInArrow(run, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
     found = durable(found.join(nodes, "key", "left_semi"), "sets")
     pairs = edges.join(found.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
 
@@ -298,9 +347,14 @@ def _verified(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str):
     """The documents' sets (id, n, key), and key, component, keep for every class that links."""
     id_type = docs.schema[id_column].dataType.simpleString()
-    given = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    texts = given.select("text")
-    shingled = durable(_shingled(given, size, percent, frequent_mask(texts, size), id_type), "shingled")
+    chunks = chunked(docs, id_column, text_column)
+    n_buckets = bucket_count(chunks)
+    body = chunks.select("chunk", "ends", "body")
+    sent = body.mapInArrow(_sent(size, n_buckets), "bucket bigint, chunk bigint, values binary, counts binary")
+    powers = sent.repartition(n_buckets, "bucket").mapInArrow(_summed, "chunk bigint, bucket bigint, powers binary")
+    powers = powers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "powers")).alias("found"))  # at most a byte a token of the chunk
+    told = chunks.join(powers, "chunk", "left").select("ids", "ends", "body", "found")
+    shingled = durable(told.mapInArrow(_shingled(size, percent, n_buckets), f"id {id_type}, n bigint, key binary, parity binary, entries array<bigint>"), "shingled")
     classes = shingled.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("entries").alias("entries"))
     classes = durable(classes, "classes")
     index = classes.select("key", F.explode("entries").alias("entry"))
@@ -311,7 +365,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
     index = durable(index.join(classes.select("key", "n", "parity"), "key").select("entry", "i", "j", "block", "key", "n", "parity"), "index")
 
     tree = durable(_grouped(index, percent, False), "tree")
-    judged = durable(_verified(tree, texts, size, percent), "verified")
+    judged = durable(_verified(tree, body, size, percent), "verified")
     links = judged.where("ok").select("a", "b")
     reach = durable(components(links), "reach")
     if judged.where("not ok").limit(1).count():
@@ -320,7 +374,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
         mixed = rooted.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("entry")
         more = _grouped(rooted.join(mixed, "entry", "left_semi").select(*rooted.columns), percent, True)
         more = durable(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "across")
-        again = durable(_verified(more, texts, size, percent), "verified")
+        again = durable(_verified(more, body, size, percent), "verified")
         links = links.unionByName(again.where("ok").select("a", "b"))
         reach = durable(components(links), "reach")
     member = reach.join(classes.select(F.col("key").alias("node"), "least"), "node")
@@ -351,13 +405,13 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_column
         lone, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             keys = []
-            for _, token, off in sets(batch.column(2), size):
+            for token, off in column_sets(batch.column(2), size):
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                     if b == a:  # a key of its own
                         lone += 1
                     keys.append(set_key(token[a:b]) if b > a else b"%d.%d" % (task, lone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary())], ["row", "id", "key"])
 
-    keyed = given.mapInArrow(run, f"row {types['row'].dataType.simpleString()}, id {types['id'].dataType.simpleString()}, key binary")
+    keyed = given.mapInArrow(run, T.StructType([T.StructField("row", types["row"].dataType), T.StructField("id", types["id"].dataType), T.StructField("key", T.BinaryType())]))
     one = keyed.groupBy("key").agg(F.coalesce(F.min_by("row", "id"), F.first("row")).alias("row"))
     return one.join(gone, F.col("key") == F.col("k"), "left_anti").select("row.*")
