@@ -21,9 +21,9 @@ def votes(records: DataFrame) -> DataFrame:
 
 def infer(records: DataFrame) -> DataFrame:
     """field, type, n, optional: the most frequent type, the first by name among equals."""
-    total = records.agg(F.count(F.lit(1)).alias("records"))
+    total = records.agg(F.count(F.lit(1))).scalar()
     best = votes(records).groupBy("field").agg(F.min_by("type", F.struct((-F.col("n")).alias("a"), F.col("type"))).alias("type"), F.max("n").alias("votes"), F.sum("n").alias("n"))
-    return best.join(F.broadcast(total)).select("field", "type", "votes", (F.col("n") < F.col("records")).alias("optional"))  # total is one row
+    return best.select("field", "type", "votes", (F.col("n") < total).alias("optional"))
 
 
 def spark_schema(records: DataFrame) -> str:
@@ -33,9 +33,9 @@ def spark_schema(records: DataFrame) -> str:
 
 def field_stats(records: DataFrame) -> DataFrame:
     """field, frequency, bytes, coverage."""
-    total = records.agg(F.count(F.lit(1)).alias("records"))
+    total = records.agg(F.count(F.lit(1))).scalar()
     stats = fields(records).groupBy("field").agg(F.count(F.lit(1)).alias("frequency"), F.sum(F.octet_length("value")).alias("bytes"))
-    return stats.join(F.broadcast(total)).select("field", "frequency", "bytes", (F.col("frequency") / F.col("records")).alias("coverage"))
+    return stats.select("field", "frequency", "bytes", (F.col("frequency") / total).alias("coverage"))
 
 
 def compression_potential(records: DataFrame) -> DataFrame:

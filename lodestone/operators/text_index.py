@@ -27,12 +27,11 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", drop_numb
 
 
 def document_stats(index: DataFrame, documents: int | None = None) -> DataFrame:
-    """documents, terms (distinct), postings, tokens and average length over documents that have a token."""
-    per_doc = index.groupBy("doc").agg(F.max("doc_len").alias("n"), F.count(F.lit(1)).alias("p"))
-    totals = per_doc.agg(F.count(F.lit(1)).alias("documents"), F.sum("p").alias("postings"), F.sum("n").alias("tokens"), F.avg("n").alias("average_length"))
-    terms = index.agg(F.count_distinct("term").alias("terms"))  # one row each
-    out = totals.join(terms)
-    return out.withColumn("documents", F.lit(documents).cast("bigint")) if documents is not None else out
+    """documents, terms (distinct), postings, tokens and average length; documents are those with a token, or as given."""
+    out = index.agg(F.count_distinct("doc").alias("documents"), F.count_distinct("term").alias("terms"), F.count(F.lit(1)).alias("postings"), F.sum("freq").alias("tokens"))
+    if documents is not None:
+        out = out.withColumn("documents", F.lit(documents).cast("bigint"))
+    return out.withColumn("average_length", F.col("tokens") / F.col("documents"))
 
 
 def all_terms(index: DataFrame) -> DataFrame:

@@ -457,8 +457,8 @@ def unique_violations(spark, d):
 
 
 @query("""WITH log AS (SELECT CASE event_type WHEN 'view' THEN 'key' WHEN 'click' THEN 'value' WHEN 'error' THEN 'value' ELSE 'other' END AS field, CASE WHEN event_type = 'click' THEN 'LIKE' ELSE '=' END AS operator FROM events)
-SELECT field || '_idx' AS name, 'SECONDARY' AS kind, field, round(count(*) * 0.8, 4) AS gain FROM log GROUP BY field HAVING count(*) >= 5
-UNION ALL SELECT 'value_fulltext_idx', 'FULLTEXT', 'value', 10.0 WHERE EXISTS (SELECT 1 FROM log WHERE operator = 'LIKE' AND field = 'value')""")
+SELECT field || '_idx' AS name, 'SECONDARY' AS kind, field, round(CAST(count(*) AS DOUBLE) * 0.8, 4) AS gain FROM log GROUP BY field HAVING count(*) >= 5
+UNION ALL SELECT 'value_fulltext_idx', 'FULLTEXT', 'value', CAST(10 AS DOUBLE) WHERE EXISTS (SELECT 1 FROM log WHERE operator = 'LIKE' AND field = 'value')""")
 def recommend_indexes(spark, d):
     kind = F.col("event_type")
     log = table(spark, d, "events").select(

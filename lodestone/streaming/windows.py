@@ -72,12 +72,12 @@ def sliding(events: DataFrame, size_us: int, slide_us: int = 0, time: str = "ts"
     """start, end, n: windows from the first event on, ``slide_us`` apart (0: their size); empty ones are left out."""
     slide = slide_us or size_us
     rows = _keyed(events, None, time)
-    first = rows.agg(F.min("us").alias("first"))
+    rows = rows.withColumn("first", rows.agg(F.min("us")).scalar())
     away = F.col("us") - F.col("first")
     # windows k with k * slide <= away < k * slide + size
     least = F.greatest(F.lit(0), F.floor((away - size_us) / slide) + 1).cast("bigint")
     most = F.floor(away / slide).cast("bigint")
-    each = rows.join(F.broadcast(first)).where(least <= most)  # one row
+    each = rows.where(least <= most)
     each = each.select("first", "n", F.explode(F.sequence(least, most)).alias("k"))
     start = F.col("first") + F.col("k") * slide
     return each.groupBy(start.alias("start")).agg(F.sum("n").alias("n")).select("start", (F.col("start") + size_us).alias("end"), "n")
