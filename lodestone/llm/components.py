@@ -2,7 +2,7 @@
 
 Each round replaces edges by links to smaller neighbours until every node points
 at its component's least node.  Rounds are DataFrame joins and aggregations cut
-by durable tables; nothing is collected but a count and a checksum.
+by durable tables; nothing is collected but whether a node is left to move.
 """
 
 from __future__ import annotations
@@ -27,16 +27,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every node points at one other, and that one at none: it is its component's least node then."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("pointed"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("pointed")))
+    sums = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("pointed").alias("pointed"))
+    return sums.where("points > 1 or (points = 1 and pointed = 1)").limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (columns a, b of one orderable type)."""
-    now = durable(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
-    seen = None
-    while True:
+    now = durable(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _settled(now):
         then = durable(_star(_star(now, True), False), "stars")
         forget(now)
-        mark = then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         now = then
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
