@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,13 +16,15 @@ BASE, BASE2, MIX = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED5
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column, end to end, and n + 1 offsets; null counts as empty."""
+    """Bytes of a string or large_string column, end to end, and n + 1 offsets; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    off = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)  # not copied
     return data[off[0] : off[-1]], off - off[0]
 
 
@@ -51,12 +55,10 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
             out.append(np.cumprod(p, dtype=U))
         return n, *out
 
-    size, up, down = worker_cache(("powers", int(base)), lambda: make(1 << 20))
+    size, up, down = worker_cache(("powers", int(base)), lambda: make(n))
     if size < n:
-        import sys
-
         sys.__dict__["_lodestone_cache"].pop(("powers", int(base)))
-        size, up, down = worker_cache(("powers", int(base)), lambda: make(1 << int(n - 1).bit_length()))
+        size, up, down = worker_cache(("powers", int(base)), lambda: make(n + (n >> 3)))
     return up, down
 
 

@@ -1,6 +1,6 @@
 """Texts in compressed chunks, and hashes of theirs dealt out to buckets.
 
-A chunk is a row of some 4 MiB of text.  It can be opened again in a later
+A chunk is a row of some 1 MiB of text.  It can be opened again in a later
 stage, with its words in the same order, so that a bucket of hashes may answer
 a chunk with an array and no document or hash needs a row of its own.
 """
@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, blocks, utf8, words
-from ._common import durable
+from ._common import durable, worker
 
 #: Bytes of a chunk at about most (a longer text stands alone), and documents.
-CHUNK, CHUNK_DOCS = 1 << 22, 1 << 12
+CHUNK, CHUNK_DOCS = 1 << 20, 1 << 12
 #: Hashes that one bucket holds at about most, and buckets at least.
 BUCKET, LEAST_BUCKETS = 1 << 23, 24
 
@@ -43,7 +43,7 @@ def chunked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     seq += 1
 
     given = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return durable(given.mapInArrow(run, f"chunk bigint, ids array<{id_type}>, ends array<bigint>, body binary, n_words bigint"), "chunks")
+    return durable(given.mapInArrow(worker(run), f"chunk bigint, ids array<{id_type}>, ends array<bigint>, body binary, n_words bigint"), "chunks")
 
 
 def opened(ends, body) -> tuple[np.ndarray, np.ndarray]:

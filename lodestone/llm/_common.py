@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -19,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lodestone_dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        own = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
         spark._lodestone_dir = path
     return path.rstrip("/")
 
@@ -61,6 +64,28 @@ def worker_cache(key, make):
     return kept[key]
 
 
+def worker(run, rows: int = 1024):
+    """``run`` over slices of ``rows`` rows, so that a large batch is not worked on (or sent back) whole.
+
+    When a task ends, its worker gives freed memory back to the system: workers
+    are kept for later tasks, beside which it would count.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than limit + 1."""
     return df.limit(limit + 1).count() <= limit

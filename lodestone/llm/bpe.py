@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import HashTable, U, blocks, gather, mix, span_hash, utf8
-from ._common import worker_cache
+from ._common import worker, worker_cache
 
 #: Bytes of a piece from which on a heap takes the place of rounds.
 LONG = 256
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 1 << 20
-BLOCK = 1 << 22
+REMEMBERED = 1 << 19
+#: Bytes of text that are worked on at once; memory is some 60 times that.
+BLOCK = 1 << 19
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
@@ -370,4 +371,4 @@ def round_trip(docs: DataFrame, rank_path: str, id_column: str = "doc_id", text_
             names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(id_column, F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(id_column, F.col(text_column).cast("string").alias("text")).mapInArrow(worker(run), schema)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import U, blocks, covered, mix, rolling, span_hash, utf8, window_mask, words
+from ._common import worker
 
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
@@ -36,7 +37,7 @@ BINS = 256
 LOWER, UPPER = 40.0, 100.0
 #: Bins that a deviation counts as at least, as where many documents are equal.
 LEAST_DEVIATION = 6
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 
 
 def fold_table() -> np.ndarray:
@@ -85,7 +86,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
             code = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(counts[code])], ["lang", "code", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(worker(run), "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -223,7 +224,7 @@ def bands(docs: DataFrame, model: dict, lower: float = LOWER, upper: float = UPP
                     total[lang, b] = total.get((lang, b), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "bin", "n"])
 
-    rows = docs.select("lang", "text").mapInArrow(run, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("lang", "text").mapInArrow(worker(run), "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     out = {}
     for lang in {r["lang"] for r in rows}:
         at, n = (np.array(x) for x in zip(*sorted((r["bin"], r["n"]) for r in rows if r["lang"] == lang)))
@@ -241,11 +242,12 @@ def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_col
     model = train(plain)
     limits = bands(plain, model, lower, upper)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    lang_at, text_at = docs.columns.index(lang_column), docs.columns.index(text_column)
 
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            langs, texts = batch.column(1), batch.column(2)
+            langs, texts = (batch.column(i).cast(pa.string()) for i in (lang_at, text_at))
             data, off = utf8(texts)
             parts = [measures(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in blocks(off, BLOCK)]
             found = {k: np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]).astype(np.int64) for k in names}
@@ -253,11 +255,11 @@ def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_col
             failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT * found["n_words"])
             own = [limits.get(x, (-np.inf, np.inf)) for x in langs.to_pylist()]
             inside = np.array([lo <= b <= hi for (lo, hi), b in zip(own, bits)], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[k]) for k in names], pa.array(failed), pa.array(np.exp2(bits)), pa.array(~failed & inside)], ["row", *names, "base_failed", "perplexity", "kept"])
+            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.RecordBatch.from_arrays([row, *[pa.array(found[k]) for k in names], pa.array(failed), pa.array(np.exp2(bits)), pa.array(~failed & inside)], ["row", *names, "base_failed", "perplexity", "kept"])
 
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
-    fields = [("row", given.schema["row"].dataType), *[(k, T.LongType()) for k in names], ("base_failed", T.BooleanType()), ("perplexity", T.DoubleType()), ("kept", T.BooleanType())]
-    return given.mapInArrow(run, T.StructType([T.StructField(k, t) for k, t in fields]))
+    fields = [("row", docs.schema), *[(k, T.LongType()) for k in names], ("base_failed", T.BooleanType()), ("perplexity", T.DoubleType()), ("kept", T.BooleanType())]
+    return docs.mapInArrow(worker(run), T.StructType([T.StructField(k, t) for k, t in fields]))
 
 
 def verdicts(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import BASE2, U, covered, gather, rolling, span_hash, window_mask, words
 from ._chunks import bucket_count, buckets, by_bucket, chunked, opened
-from ._common import durable
+from ._common import durable, worker
 
 WINDOW = 35
 
@@ -204,15 +204,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
     n_buckets = bucket_count(chunks)
     body = chunks.select("chunk", "ends", "body")
 
-    probes = body.mapInArrow(_probe(block, n_buckets), "bucket bigint, chunk bigint, own binary, number binary, probes binary, again binary")
-    hits = probes.repartition(n_buckets, "bucket").mapInArrow(_find_anchors, "chunk bigint, numbers binary")
+    probes = body.mapInArrow(worker(_probe(block, n_buckets)), "bucket bigint, chunk bigint, own binary, number binary, probes binary, again binary")
+    hits = probes.repartition(n_buckets, "bucket").mapInArrow(worker(_find_anchors), "chunk bigint, numbers binary")
     anchors = durable(hits.groupBy("chunk").agg(F.collect_list("numbers").alias("numbers")), "anchors")  # at most a chunk's blocks
 
     hit = body.join(anchors, "chunk").select("chunk", "ends", "body", "numbers")
-    sent = hit.mapInArrow(_windows(block, n_buckets), "bucket bigint, chunk bigint, values binary, again binary")
-    matched = sent.repartition(n_buckets, "bucket").mapInArrow(_match, "chunk bigint, bucket bigint, bits binary")
+    sent = hit.mapInArrow(worker(_windows(block, n_buckets)), "bucket bigint, chunk bigint, values binary, again binary")
+    matched = sent.repartition(n_buckets, "bucket").mapInArrow(worker(_match), "chunk bigint, bucket bigint, bits binary")
     found = durable(matched.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")), "found")  # at most a chunk's windows, in bits
 
     full = chunks.join(anchors, "chunk", "left").join(found, "chunk", "left").select("ids", "ends", "body", "numbers", "found")
     schema = f"`{id_column}` {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    return full.mapInArrow(_cut(block, n_buckets, id_column, with_text), schema)
+    return full.mapInArrow(worker(_cut(block, n_buckets, id_column, with_text)), schema)
