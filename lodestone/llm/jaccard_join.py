@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import U, blocks, mix, rolling, span_hash, utf8, words
+from ._bytes import U, blocks, gather, mix, rolling, span_hash, utf8, words
 from ._chunks import CHUNK, CHUNK_DOCS, bucket_count, buckets, by_bucket, chunked, opened
-from ._common import durable
+from ._common import durable, worker
 from .components import components
 
 #: Bits of a token: the rest of 64 numbers the documents of a chunk while sorting.
@@ -55,6 +55,13 @@ def _lower() -> np.ndarray:
 LOWER = _lower()
 
 
+def _fresh(value: np.ndarray) -> np.ndarray:
+    """True where a sorted array has a new value."""
+    out = np.ones(len(value), bool)
+    out[1:] = value[1:] != value[:-1]
+    return out
+
+
 def sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the sets of at most 2**12 documents, ascending in each, and their offsets."""
     docs = len(off) - 1
@@ -71,7 +78,8 @@ def sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     if len(short):  # the whole sequence as one shingle
         whole = [mix(rolling(value[word_off[i] : word_off[i + 1]], int(count[i])) + U(count[i])) for i in short]
         doc, token = np.concatenate([doc, short]), np.concatenate([token, *whole])
-    key = np.unique(doc.astype(U) << U(TOKEN_BITS) | token >> U(64 - TOKEN_BITS))
+    key = np.sort(doc.astype(U) << U(TOKEN_BITS) | token >> U(64 - TOKEN_BITS))
+    key = key[_fresh(key)]
     return key & U((1 << TOKEN_BITS) - 1), np.searchsorted((key >> U(TOKEN_BITS)).astype(np.int64), np.arange(docs + 1))
 
 
@@ -84,10 +92,14 @@ def column_sets(column, size: int):
             yield sets(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
 
 
-def _distinct(token: np.ndarray, n_buckets: int):
-    """Distinct (bucket, 32-bit hash) of tokens in order, each token's place in it, and how many share it."""
+def _hashed(token: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket and 32-bit hash of tokens, in one number."""
     h = mix(token * U(7) + U(3))
-    return np.unique(buckets(h, n_buckets).astype(U) << U(32) | h & U(0xFFFFFFFF), return_inverse=True, return_counts=True)
+    return buckets(h, n_buckets).astype(U) << U(32) | h & U(0xFFFFFFFF)
+
+
+def _bounds(value: np.ndarray, n_buckets: int) -> np.ndarray:
+    return np.searchsorted(value, np.arange(n_buckets + 1).astype(U) << U(32))
 
 
 def _sent(size: int, n_buckets: int):
@@ -96,8 +108,10 @@ def _sent(size: int, n_buckets: int):
     def run(batches):
         for batch in batches:
             for chunk, ends, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                value, _, count = _distinct(sets(*opened(ends, body), size)[0], n_buckets)
-                cut = np.searchsorted((value >> U(32)).astype(np.int64), np.arange(n_buckets + 1))
+                value = np.sort(_hashed(sets(*opened(ends, body), size)[0], n_buckets))
+                at = np.flatnonzero(_fresh(value))
+                value, count = value[at], np.diff(np.append(at, len(value)))
+                cut = _bounds(value, n_buckets)
                 some = np.flatnonzero(np.diff(cut))
                 values = [value[cut[k] : cut[k + 1]].astype("<u4").tobytes() for k in some]
                 counts = [count[cut[k] : cut[k + 1]].astype("<u2").tobytes() for k in some]
@@ -111,10 +125,8 @@ def _summed(batches):
     for bucket, rows in by_bucket(batches):
         values = [np.frombuffer(r[1], "<u4") for r in rows]
         every = np.concatenate(values)
-        order = np.argsort(every, kind="stable")
-        fresh = np.ones(len(every), bool)
-        fresh[1:] = every[order][1:] != every[order][:-1]
-        group = np.cumsum(fresh) - 1
+        order = np.argsort(every)
+        group = np.cumsum(_fresh(every[order])) - 1
         total = np.bincount(group, weights=np.concatenate([np.frombuffer(r[2], "<u2") for r in rows])[order])
         power = np.empty(len(every), np.uint8)
         power[order] = (np.frexp(total)[1] - 1).astype(np.uint8)[group]
@@ -127,26 +139,40 @@ def set_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def text_mark(text: np.ndarray) -> int:
+    """A number of 62 bits for a text's bytes."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big") >> 2
+
+
 def signatures(token: np.ndarray, power: np.ndarray, off: np.ndarray, percent: int) -> list[np.ndarray]:
     """Index entries of each set; a token that no other document has takes its place in the prefix, but is no entry."""
     n = np.diff(off)
     need = (percent * n + 99) // 100
     prefix = np.where(100 * n >= percent * (n + 1), n - need + 1, 0)  # smaller sets link with equal ones only
+    alone = np.zeros(len(token) + 1, np.int64)
+    np.cumsum(power == 0, out=alone[1:])
+    out = [token[:0]] * len(n)
+    some = np.flatnonzero(alone[off[1:]] - alone[off[:-1]] < prefix)  # the others' prefixes are all their own
+    if not len(some):
+        return out
+    start, n, prefix = off[some], n[some], prefix[some]
+    token, power = gather(token, start, n), gather(power, start, n)
+    off = np.concatenate([[0], np.cumsum(n)])
     doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((token, power, doc))  # rarest first
+    order = np.argsort(doc << 8 | power, kind="stable")  # rarest first; tokens ascend already
     token, power = token[order], power[order]
     first = np.arange(len(token)) - off[:-1][doc] < prefix[doc]
     taken = first & (power > 0) & (power < FREQUENT)
-    single = mix(token ^ U(0x5851F42D4C957F2D))
     cut = np.searchsorted(np.flatnonzero(taken), off)
-    single = single[taken]
-    out = [single[cut[i] : cut[i + 1]] for i in range(len(n))]
+    single = mix(token[taken] ^ U(0x5851F42D4C957F2D))
+    for i, row in enumerate(some):
+        out[row] = single[cut[i] : cut[i + 1]]
     for i in np.unique(doc[first & (power >= FREQUENT)]):  # the prefix runs into frequent tokens: pairs of them, one token further
         reach = slice(off[i], off[i] + min(prefix[i] + 1, n[i]))
         own = token[reach][power[reach] >= FREQUENT]
         if len(own) > 1:
             a, b = np.array(list(combinations(range(len(own)), 2))).T
-            out[i] = np.concatenate([out[i], mix(mix(own[a]) * U(3) + own[b])])
+            out[some[i]] = np.concatenate([out[some[i]], mix(mix(own[a]) * U(3) + own[b])])
     return out
 
 
@@ -168,24 +194,30 @@ def parities(token: np.ndarray, off: np.ndarray) -> list[bytes]:
 
 
 def _shingled(size: int, percent: int, n_buckets: int):
-    """id, n, key, parity, entries of every document; key is null for empty sets."""
+    """id, n, key, parity, entries, mark of every document; key is null for empty sets."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(0)
             for row, (ends, body, found) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 4)))):
-                token, off = sets(*opened(ends, body), size)
-                value, place, _ = _distinct(token, n_buckets)
-                powers = np.zeros(len(value), np.uint8)
-                cut = np.searchsorted((value >> U(32)).astype(np.int64), np.arange(n_buckets + 1))
+                data, ends_of = opened(ends, body)
+                token, off = sets(data, ends_of, size)
+                value = _hashed(token, n_buckets)
+                order = np.argsort(value)
+                value = value[order]
+                fresh = _fresh(value)
+                powers, cut = np.zeros(int(fresh.sum()), np.uint8), _bounds(value[fresh], n_buckets)
                 for own in found or ():
                     powers[cut[own["bucket"]] : cut[own["bucket"] + 1]] = np.frombuffer(own["powers"], np.uint8)
-                entries = signatures(token, powers[place.reshape(-1)], off, percent)
+                power = np.empty(len(token), np.uint8)
+                power[order] = powers[np.cumsum(fresh) - 1]
+                entries = signatures(token, power, off, percent)
+                marks = [text_mark(data[a:b]) for a, b in zip(ends_of[:-1].tolist(), ends_of[1:].tolist())]
                 keys = [set_key(token[a:b]) if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
                 flat = np.concatenate([np.zeros(0, U), *entries]).astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
                 columns = [lists[row].values, pa.array(np.diff(off), pa.int64()), pa.array(keys, pa.binary()), pa.array(parities(token, off), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))], ["id", "n", "key", "parity", "entries"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)), pa.array(marks, pa.int64())], ["id", "n", "key", "parity", "entries", "mark"])
 
     return run
 
@@ -294,13 +326,13 @@ def _candidates(percent: int, across: bool):
 
 def _grouped(index: DataFrame, percent: int, across: bool) -> DataFrame:
     spread = index.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-    return spread.mapInArrow(_candidates(percent, across), "a binary, b binary").distinct()
+    return spread.mapInArrow(worker(_candidates(percent, across)), "a binary, b binary").distinct()
 
 
-def _node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each node's key; FILTER / 64 numbers reach the driver, however many nodes there are."""
-    place = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(FILTER - 1))
-    bits = nodes.select(F.shiftright(place, 6).cast("int").alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+def _mark_filter(marks: DataFrame) -> np.ndarray:
+    """A bit for each mark; FILTER / 64 numbers reach the driver, however many marks there are."""
+    place = F.col("mark").bitwiseAND(F.lit(FILTER - 1))
+    bits = marks.select(F.shiftright(place, 6).cast("int").alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
     rows = bits.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).collect()
     table = np.zeros(FILTER // 64, np.int64)
     if rows:
@@ -308,27 +340,32 @@ def _node_filter(nodes: DataFrame) -> np.ndarray:
     return table.view(U)
 
 
-def _verified(edges: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b, ok: whether the whole sets of each edge reach the similarity."""
+def _verified(edges: DataFrame, classes: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b, ok: whether the whole sets of each edge reach the similarity.
+
+    Sets are made again for the texts that stand for the edges' classes, which
+    the filter finds by their marks, and a few others that it lets through.
+    """
     nodes = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
-    shared = body.sparkSession.sparkContext.broadcast(_node_filter(nodes))
+    shared = body.sparkSession.sparkContext.broadcast(_mark_filter(classes.select("key", "mark").join(nodes, "key", "left_semi")))
 
     def run(batches):
         listed = shared.value
         for batch in batches:
             found, own = [], []
             for ends, chunk in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                token, off = sets(*opened(ends, chunk), size)
+                data, off = opened(ends, chunk)
+                marks = np.array([text_mark(data[a:b]) & (FILTER - 1) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], np.int64)
+                some = np.flatnonzero(listed[marks >> 6] >> (marks & 63).astype(U) & U(1))
+                length = np.diff(off)[some]
+                token, off = sets(gather(data, off[some], length), np.concatenate([[0], np.cumsum(length)]), size)
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                     if b > a:
-                        key = set_key(token[a:b])
-                        place = int.from_bytes(key[:4], "big") & (FILTER - 1)
-                        if int(listed[place >> 6]) >> (place & 63) & 1:
-                            found.append(key)
-                            own.append(token[a:b].tobytes())
+                        found.append(set_key(token[a:b]))
+                        own.append(token[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(own, pa.binary())], ["key", "tokens"])
 
-    found = body.mapInArrow(run, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    found = body.mapInArrow(worker(run), "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
     found = durable(found.join(nodes, "key", "left_semi"), "sets")
     pairs = edges.join(found.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
 
@@ -341,7 +378,7 @@ def _verified(edges: DataFrame, body: DataFrame, size: int, percent: int) -> Dat
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary, ok boolean")
+    return pairs.select("a", "b", "x", "y").mapInArrow(worker(test), "a binary, b binary, ok boolean")
 
 
 def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str):
@@ -350,12 +387,12 @@ def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
     chunks = chunked(docs, id_column, text_column)
     n_buckets = bucket_count(chunks)
     body = chunks.select("chunk", "ends", "body")
-    sent = body.mapInArrow(_sent(size, n_buckets), "bucket bigint, chunk bigint, values binary, counts binary")
-    powers = sent.repartition(n_buckets, "bucket").mapInArrow(_summed, "chunk bigint, bucket bigint, powers binary")
+    sent = body.mapInArrow(worker(_sent(size, n_buckets)), "bucket bigint, chunk bigint, values binary, counts binary")
+    powers = sent.repartition(n_buckets, "bucket").mapInArrow(worker(_summed), "chunk bigint, bucket bigint, powers binary")
     powers = powers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "powers")).alias("found"))  # at most a byte a token of the chunk
     told = chunks.join(powers, "chunk", "left").select("ids", "ends", "body", "found")
-    shingled = durable(told.mapInArrow(_shingled(size, percent, n_buckets), f"id {id_type}, n bigint, key binary, parity binary, entries array<bigint>"), "shingled")
-    classes = shingled.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("entries").alias("entries"))
+    shingled = durable(told.mapInArrow(worker(_shingled(size, percent, n_buckets)), f"id {id_type}, n bigint, key binary, parity binary, entries array<bigint>, mark bigint"), "shingled")
+    classes = shingled.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("entries").alias("entries"), F.first("mark").alias("mark"))
     classes = durable(classes, "classes")
     index = classes.select("key", F.explode("entries").alias("entry"))
     shared = index.groupBy("entry").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -365,7 +402,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
     index = durable(index.join(classes.select("key", "n", "parity"), "key").select("entry", "i", "j", "block", "key", "n", "parity"), "index")
 
     tree = durable(_grouped(index, percent, False), "tree")
-    judged = durable(_verified(tree, body, size, percent), "verified")
+    judged = durable(_verified(tree, classes, body, size, percent), "verified")
     links = judged.where("ok").select("a", "b")
     reach = durable(components(links), "reach")
     if judged.where("not ok").limit(1).count():
@@ -374,9 +411,10 @@ def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
         mixed = rooted.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("entry")
         more = _grouped(rooted.join(mixed, "entry", "left_semi").select(*rooted.columns), percent, True)
         more = durable(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "across")
-        again = durable(_verified(more, body, size, percent), "verified")
-        links = links.unionByName(again.where("ok").select("a", "b"))
-        reach = durable(components(links), "reach")
+        again = durable(_verified(more, classes, body, size, percent), "verified")
+        found = again.where("ok").select("a", "b")
+        if found.limit(1).count():
+            reach = durable(components(found.unionByName(reach.select(F.col("node").alias("a"), F.col("root").alias("b")))), "reach")
     member = reach.join(classes.select(F.col("key").alias("node"), "least"), "node")
     best = member.groupBy("root").agg(F.min("least").alias("component"), F.min_by("node", "least").alias("keep"))
     named = member.join(best, "root").select(F.col("node").alias("key"), "component", "keep")
@@ -395,9 +433,7 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     """One document of each group (the least id's class, least id), with all columns; texts without words all stay."""
     _, _, named = _classes(docs, size, percent, id_column, text_column)
     gone = named.where("key <> keep").select(F.col("key").alias("k"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    given = docs.select(row.alias("row"), F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    types = given.schema
+    id_at, text_at = docs.columns.index(id_column), docs.columns.index(text_column)
 
     def run(batches):
         from pyspark import TaskContext
@@ -405,13 +441,14 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_column
         lone, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             keys = []
-            for token, off in column_sets(batch.column(2), size):
+            for token, off in column_sets(batch.column(text_at).cast(pa.string()), size):
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                     if b == a:  # a key of its own
                         lone += 1
                     keys.append(set_key(token[a:b]) if b > a else b"%d.%d" % (task, lone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary())], ["row", "id", "key"])
+            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.RecordBatch.from_arrays([row, batch.column(id_at), pa.array(keys, pa.binary())], ["row", "id", "key"])
 
-    keyed = given.mapInArrow(run, T.StructType([T.StructField("row", types["row"].dataType), T.StructField("id", types["id"].dataType), T.StructField("key", T.BinaryType())]))
+    keyed = docs.mapInArrow(worker(run), T.StructType([T.StructField("row", docs.schema), T.StructField("id", docs.schema[id_column].dataType), T.StructField("key", T.BinaryType())]))
     one = keyed.groupBy("key").agg(F.coalesce(F.min_by("row", "id"), F.first("row")).alias("row"))
     return one.join(gone, F.col("key") == F.col("k"), "left_anti").select("row.*")
