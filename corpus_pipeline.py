@@ -22,7 +22,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their perplexity reject go."""
-    return quality_rules.keep(docs)
+    return quality_rules.keep(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ documents, and the model is kept as arrays of log-probabilities by sorted
 trigram code, at most 64**3 entries a language however large the corpus is.
 Documents whose perplexity leaves their language's band (median plus or minus a
 multiple of the median deviation, both from a histogram of all documents) are
-rejected.
+rejected.  The multiples keep ``GOOD_SHARE`` of the documents that ``labels``
+call good; without enough labels they are ``LOWER`` and ``UPPER``.  A document
+off its language's median counts every word by the language that prices it
+least, so that a wrong language code or a mixture is not taken for junk.
 
 Defined results: null and empty texts have no words and fail the base rules; a
 null language is a language of its own; texts are taken whole; repeated rows
@@ -32,9 +35,14 @@ SYMBOLS = b"#*$%&|<>"
 SIZE = 64
 #: Bins of log2 perplexity, per bit.
 BINS = 256
-#: Widths of the band in median deviations, below and above the median: wide enough for
-#: texts that mix languages, which reach some 80; gibberish goes beyond.
-LOWER, UPPER = 40.0, 100.0
+#: Widths of the band in median deviations, below and above the median, where labels are too few.
+LOWER, UPPER = 6.0, 6.0
+#: Share of the documents labelled good that the band holds, half of the others to each side, and labels that it takes.
+GOOD_SHARE, LEAST_GOOD = 0.995, 400
+#: Deviations from the median within which a document is not priced by other languages.
+NEAR = 3.0
+#: Steps of a deviation in the histogram of labelled documents.
+STEPS = 16
 #: Bins that a deviation counts as at least, as where many documents are equal.
 LEAST_DEVIATION = 6
 BLOCK = 1 << 19
@@ -141,12 +149,34 @@ class Scorer:
 
     def bits(self, lang, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log2 of the perplexity; 0 for empty documents."""
+        total = self._running(lang, trigrams(data, off))
+        return (total[off[1:]] - total[off[:-1]]) / np.maximum(np.diff(off), 1)
+
+    def _running(self, lang, code: np.ndarray) -> np.ndarray:
         if lang not in self.tables:
             empty = (np.zeros(0, np.int32), np.zeros(0, np.int64))
             self.tables[lang] = kneser_ney(*self.model.get(lang, empty))
-        total = np.zeros(len(data) + 1)
-        np.cumsum(self.tables[lang][trigrams(data, off)], dtype=np.float64, out=total[1:])
-        return -(total[off[1:]] - total[off[:-1]]) / np.maximum(np.diff(off), 1)
+        total = np.zeros(len(code) + 1)
+        np.cumsum(self.tables[lang][code], dtype=np.float64, out=total[1:])
+        return -total
+
+    def least(self, data: np.ndarray, off: np.ndarray, centre: dict) -> tuple[np.ndarray, np.ndarray]:
+        """As bits, with every word (and the blanks behind it) in the language that prices it least, and those languages' mean median."""
+        start, _, word_off = words(data, off)
+        first = word_off[:-1][word_off[1:] > word_off[:-1]]
+        start[first] = off[:-1][word_off[1:] > word_off[:-1]]  # blanks ahead of a document's first word are its own
+        end = np.append(start[1:], len(data))
+        owner = np.searchsorted(word_off, np.arange(len(start)), "right") - 1
+        end = np.minimum(end, off[owner + 1])
+        code, price, middle = trigrams(data, off), np.full(len(start), np.inf), np.zeros(len(start))
+        for lang, (own, _) in centre.items():
+            total = self._running(lang, code)
+            here = total[end] - total[start]
+            middle = np.where(here < price, own, middle)
+            price = np.minimum(price, here)
+        total = np.zeros((2, len(start) + 1))
+        np.cumsum([price, middle * (end - start)], axis=1, out=total[:, 1:])
+        return tuple((total[:, word_off[1:]] - total[:, word_off[:-1]]) / np.maximum(np.diff(off), 1))
 
 
 def score_batch(scorer: Scorer, langs, texts) -> np.ndarray:
@@ -160,6 +190,22 @@ def score_batch(scorer: Scorer, langs, texts) -> np.ndarray:
     return out
 
 
+def apart_batch(scorer: Scorer, langs, texts, centre: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each document, by the least of all languages where its own is off, and the deviations from the median."""
+    bits = score_batch(scorer, langs, texts)
+    middle, deviation = (np.array([centre.get(x, (0, np.inf))[i] for x in langs.to_pylist()], float) for i in (0, 1))
+    far = np.flatnonzero(np.abs(bits * BINS - middle) > NEAR * deviation)
+    data, off = utf8(texts.take(pa.array(far)))
+    for a, b in blocks(off, BLOCK):
+        bits[far[a:b]], middle[far[a:b]] = scorer.least(data[off[a] : off[b]], off[a : b + 1] - off[a], centre)
+    return bits, (bits * BINS - middle) / deviation
+
+
+def word_counts(texts) -> np.ndarray:
+    data, off = utf8(texts)
+    return np.concatenate([np.zeros(0, np.int64), *[np.diff(words(data[off[a] : off[b]], off[a : b + 1] - off[a])[2]) for a, b in blocks(off, BLOCK)]])
+
+
 def per_doc(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.zeros(len(mask) + 1, np.int64)
     np.cumsum(mask, out=total[1:])
@@ -210,15 +256,14 @@ def repeats(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out if len(key) else np.zeros(0, np.int8)
 
 
-def bands(docs: DataFrame, model: dict, lower: float = LOWER, upper: float = UPPER) -> dict:
-    """(least, most) log2 perplexity per language, from all documents of MIN_WORDS words or more."""
+def centres(docs: DataFrame, model: dict) -> dict:
+    """(median, median deviation) per language in bins of log2 perplexity, from all documents of MIN_WORDS words or more."""
 
     def run(batches):
         scorer, total = Scorer(model), {}
         for batch in batches:
             bins = np.rint(score_batch(scorer, batch.column(0), batch.column(1)) * BINS).astype(np.int64)
-            data, off = utf8(batch.column(1))
-            enough = np.concatenate([np.zeros(0, np.int64), *[np.diff(words(data[off[a] : off[b]], off[a : b + 1] - off[a])[2]) for a, b in blocks(off, BLOCK)]]) >= MIN_WORDS
+            enough = word_counts(batch.column(1)) >= MIN_WORDS
             for lang, b, ok in zip(batch.column(0).to_pylist(), bins.tolist(), enough.tolist()):
                 if ok:
                     total[lang, b] = total.get((lang, b), 0) + 1
@@ -232,15 +277,42 @@ def bands(docs: DataFrame, model: dict, lower: float = LOWER, upper: float = UPP
         away = np.abs(at - middle)
         order = np.argsort(away, kind="stable")
         deviation = max(LEAST_DEVIATION, away[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
-        out[lang] = ((middle - lower * deviation) / BINS, (middle + upper * deviation) / BINS)
+        out[lang] = (int(middle), int(deviation))
     return out
 
 
-def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """All columns of ``docs`` in ``row`` (a struct), with measures, base_failed, perplexity and kept."""
+def widths(docs: DataFrame, model: dict, centre: dict, labels: DataFrame, label_id: str = "doc_id") -> tuple[float, float] | None:
+    """Deviations (lower, upper) that hold GOOD_SHARE of the documents (columns id, lang, text) labelled good; None if they are too few."""
+
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            _, away = apart_batch(scorer, batch.column(1), batch.column(2), centre)
+            own = pa.array(word_counts(batch.column(2)) >= MIN_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), pa.array(np.rint(away * STEPS).astype(np.int64)).filter(own)], ["id", "away"])
+
+    good = labels.where("quality = 1").select(F.col(label_id).alias("id")).distinct()
+    at = docs.select("id", "lang", "text").mapInArrow(worker(run), f"id {docs.schema['id'].dataType.simpleString()}, away bigint")
+    rows = sorted(tuple(r) for r in at.join(good, "id").groupBy("away").agg(F.count("*")).collect())
+    if sum(n for _, n in rows) < LEAST_GOOD:
+        return None
+    at, upto = np.array([r[0] for r in rows]), np.cumsum([r[1] for r in rows])
+    out = int(upto[-1] * (1 - GOOD_SHARE) / 2)  # documents beyond either end
+    low, high = at[np.searchsorted(upto, out, "right")], at[np.searchsorted(upto, upto[-1] - out)]
+    return max(0.0, (0.5 - low) / STEPS), max(0.0, (high + 0.5) / STEPS)
+
+
+def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_column: str = "text", lang_column: str = "lang", labels: DataFrame | None = None, id_column: str = "doc_id", label_id: str = "doc_id") -> DataFrame:
+    """All columns of ``docs`` in ``row`` (a struct), with measures, base_failed, perplexity and kept.
+
+    ``labels`` (``label_id``, quality 0 or 1), where given and enough, take the place of ``lower`` and ``upper``.
+    """
     plain = docs.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
     model = train(plain)
-    limits = bands(plain, model, lower, upper)
+    centre = centres(plain, model)
+    if labels is not None:
+        named = docs.select(F.col(id_column).alias("id"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
+        lower, upper = widths(named, model, centre, labels, label_id) or (lower, upper)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     lang_at, text_at = docs.columns.index(lang_column), docs.columns.index(text_column)
 
@@ -251,10 +323,9 @@ def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_col
             data, off = utf8(texts)
             parts = [measures(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in blocks(off, BLOCK)]
             found = {k: np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]).astype(np.int64) for k in names}
-            bits = score_batch(scorer, langs, texts)
+            bits, away = apart_batch(scorer, langs, texts, centre)
             failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT * found["n_words"])
-            own = [limits.get(x, (-np.inf, np.inf)) for x in langs.to_pylist()]
-            inside = np.array([lo <= b <= hi for (lo, hi), b in zip(own, bits)], bool)
+            inside = (away >= -lower) & (away <= upper)
             row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
             yield pa.RecordBatch.from_arrays([row, *[pa.array(found[k]) for k in names], pa.array(failed), pa.array(np.exp2(bits)), pa.array(~failed & inside)], ["row", *names, "base_failed", "perplexity", "kept"])
 
@@ -262,13 +333,13 @@ def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_col
     return docs.mapInArrow(worker(run), T.StructType([T.StructField(k, t) for k, t in fields]))
 
 
-def verdicts(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def verdicts(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", labels: DataFrame | None = None) -> DataFrame:
     """id, n_words, the four measures, base_failed, perplexity, kept."""
     slim = docs.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    out = judged(slim, lower, upper)
+    out = judged(slim, lower, upper, labels=labels, id_column="id", label_id=id_column)
     return out.select(F.col("row.id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "perplexity", "kept")
 
 
-def keep(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def keep(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_column: str = "text", lang_column: str = "lang", labels: DataFrame | None = None, id_column: str = "doc_id") -> DataFrame:
     """The documents that stay, with their columns."""
-    return judged(docs, lower, upper, text_column, lang_column).where("kept").select("row.*")
+    return judged(docs, lower, upper, text_column, lang_column, labels, id_column, id_column).where("kept").select("row.*")

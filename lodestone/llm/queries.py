@@ -47,7 +47,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
