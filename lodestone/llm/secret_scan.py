@@ -29,11 +29,16 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as those of [0-9a-f]+ that are long enough
-#: Wider than ASSIGN: more names, arrows, and any value up to a blank, quote or bracket.
+#: Wider than ASSIGN: more names, arrows, and whole values.  In quotes a value goes up to the matching quote on its
+#: line: one behind no backslash, with no character of the value behind it.  Otherwise it goes up to a blank.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|(?:api|access|private|secret|signing|encryption)[_-]?key)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*["']?([^\s"'<>(){}\[\],;]{6,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|(?:api|access|private|secret|signing|encryption)[_-]?key)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*"""
+    r"""(?:"((?:[^"\\\r\n]|\\[^\r\n]|"(?![\s,;:.)\]}>]|\Z))*)"|'((?:[^'\\\r\n]|\\[^\r\n]|'(?![\s,;:.)\]}>]|\Z))*)'|(\S))""",
     re.I | re.A,
 )
+BLANK, NESTED = re.compile(r"\s|\Z"), re.compile(r"""[{\[(]*["']""")
+#: Characters of a value at least, and marks that end the sentence around a value without quotes.
+LEAST_VALUE, TRAILING = 6, ".,;:)]}>\"'`"
 #: Bits from which on a value counts as a secret: 2**36 guesses.
 MIN_BITS = 36.0
 #: Common passwords and credential words, most common first; the rank prices them.
@@ -126,6 +131,28 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
+def values(text: str):
+    """(start, end) of every whole value in a credential context.
+
+    Values in quotes may stand inside one without quotes, as in JSON.
+    """
+    at = run = 0
+    while m := CONTEXT.search(text, at):
+        a, b = m.span(m.lastindex)
+        at = b
+        if m.lastindex == 3:
+            at = a
+            if b <= run:  # inside the last such value
+                continue
+            run = BLANK.search(text, a).start()
+            if text[a] in "{[(" and NESTED.match(text, a):  # a structure, whose values have names of their own
+                continue
+            a += text[a] in "\"'"  # not closed on its line
+            b = a + len(text[a:run].rstrip(TRAILING))
+        if b - a >= LEAST_VALUE:
+            yield a, b
+
+
 def scan(text: str | None, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start, then kind."""
     if not text:
@@ -135,7 +162,7 @@ def scan(text: str | None, min_bits: float = MIN_BITS) -> list[tuple[str, int, i
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if ":" in text or "=" in text:
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-        found += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1]) >= min_bits]
+        found += [("guess", a, b) for a, b in values(text) if guess_bits(text[a:b]) >= min_bits]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
