@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,14 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.searchsorted(start, off)
 
 
+def covered_spans(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """True for each of n positions within a span; spans do not overlap."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
 def read_ranks(path: str) -> list[bytes]:
     """Tokens of a rank file by id."""
     with open(path, "rb") as f:
@@ -134,8 +143,9 @@ def rank_pairs(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Bpe:
     """Encoder of pieces; ``merged`` has the id that each rank's merge gives."""
 
-    def __init__(self, vocabulary, keys, ranks, merged, whole):
+    def __init__(self, vocabulary, keys, ranks, merged, whole, added=None):
         self.vocabulary = vocabulary
+        self.added = added or {}
         byte = {t[0]: i for i, t in enumerate(vocabulary) if len(t) == 1}
         self.byte_id = np.array([byte[b] for b in range(256)], np.int32)
         self.pairs = HashTable(len(keys))
@@ -156,24 +166,32 @@ class Bpe:
 
     @classmethod
     def of_merges(cls, path: str) -> Bpe:
-        """As the tokenizers library: only the listed merges, in their order."""
+        """As the tokenizers library: only the listed merges, in their order, in the texts between added tokens."""
         import json
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            given = json.load(f)
+        model = given["model"]
+        added = {}
+        for token in given.get("added_tokens") or ():
+            if token.get("lstrip") or token.get("rstrip") or token.get("single_word"):
+                raise ValueError(f"added token {token['content']!r}: lstrip, rstrip and single_word are not supported")
+            added[token["content"].encode()] = token["id"]
         # printable stand-ins of bytes: those that print stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*plain}))}
         back = {c: b for b, c in char.items()}
         vocab = model["vocab"]
-        vocabulary = [b""] * (max(vocab.values()) + 1)
+        vocabulary = [b""] * (max(*vocab.values(), *added.values(), 0) + 1)
         for token, i in vocab.items():
             vocabulary[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        for token, i in added.items():
+            vocabulary[i] = token
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], U)
         keys, first = np.unique(keys, return_index=True)
         merged = np.array([vocab[a + b] for a, b in merges], np.int32)
-        return cls(vocabulary, keys, first.astype(np.int32), merged, False)
+        return cls(vocabulary, keys, first.astype(np.int32), merged, False, added)
 
     def _clear(self):
         self.known = HashTable()
@@ -291,8 +309,35 @@ class Bpe:
             out[np.repeat(at[who] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return out, count
 
+    def _marks(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, id) of the added tokens in documents, leftmost and then longest first."""
+        raw = data.tobytes()
+        if not any(token in raw for token in self.added):
+            return []
+        any_token = b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
+        starts = [m.start() for m in re.finditer(b"(?=" + any_token + b")", raw)]
+        out = []
+        for doc in np.unique(np.searchsorted(off, starts, "right") - 1):
+            a, b = int(off[doc]), int(off[doc + 1])
+            out += [(a + m.start(), a + m.end(), self.added[m[0]]) for m in re.finditer(any_token, raw[a:b])]
+        return out
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of documents, end to end, and their n + 1 offsets."""
+        if not (marks := self._marks(data, off)):
+            return self._encode(data, off)
+        start, end, token = np.array(marks, np.int64).T
+        gone = np.concatenate([[0], np.cumsum(end - start)])
+        inside = covered_spans(start, end, len(data))
+        place = start - gone[:-1]
+        before = np.searchsorted(start, off)  # added tokens ahead of each document
+        bare = off - gone[before]
+        edges = np.unique(np.concatenate([bare, place]))
+        ids, cut = self._encode(data[~inside], edges)
+        at = lambda x: cut[np.searchsorted(edges, x)]
+        return np.insert(ids, at(place), token), at(bare) + before
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, cut = pieces(data, off)
         end = np.append(start[1:], len(data))
         key = span_hash(data, start, end)
