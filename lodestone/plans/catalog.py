@@ -128,6 +128,11 @@ def kv_prefix_scan(spark, d):
     return versions.prefix_scan(user_log(spark, d), "user:1", 20)
 
 
+@query(f"WITH {USER_LOG}, {seen()} SELECT key, value FROM latest WHERE starts_with(key, 'user:1')")
+def kv_prefix_scan_whole(spark, d):
+    return versions.prefix_scan(user_log(spark, d), "user:1")
+
+
 @query(f"WITH {USER_LOG} SELECT key, seq, value, deleted FROM log WHERE key = 'user:5'")
 def kv_history(spark, d):
     return versions.history(user_log(spark, d), "user:5")
@@ -200,6 +205,11 @@ def where_all(spark, d):
     return QueryEngine(customers_kv(spark, d)).where_multiple([Condition("key", "LIKE", "customer:1"), Condition("value", ">", "5000")], True, 50)
 
 
+@query(f"WITH {CUSTOMERS_KV} SELECT key, value FROM kv WHERE starts_with(key, 'customer:1') AND {_numeric('>', '5000')}")
+def where_all_whole(spark, d):
+    return QueryEngine(customers_kv(spark, d)).where_multiple([Condition("key", "LIKE", "customer:1"), Condition("value", ">", "5000")], True)
+
+
 @query(f"WITH {CUSTOMERS_KV} SELECT key, value FROM kv WHERE value = 'BUILDING' OR {_numeric('<', '0')}")
 def where_any(spark, d):
     return QueryEngine(customers_kv(spark, d)).where_multiple([Condition("value", "=", "BUILDING"), Condition("value", "<", "0")], False)
@@ -261,6 +271,11 @@ def scan_ordered_asc(spark, d):
     return QueryEngine(orders_kv(spark, d)).scan_ordered("orders:2", "orders:4", False, 100)
 
 
+@query(f"WITH {ORDERS_KV} SELECT key, value FROM kv WHERE key BETWEEN 'orders:2' AND 'orders:4'")
+def scan_ordered_asc_whole(spark, d):
+    return QueryEngine(orders_kv(spark, d)).scan_ordered("orders:2", "orders:4", False)
+
+
 @query(f"WITH {ORDERS_KV} SELECT key, value FROM (SELECT * FROM kv WHERE key >= 'orders:2' ORDER BY key LIMIT 100)")
 def scan_ordered_desc(spark, d):
     return QueryEngine(orders_kv(spark, d)).scan_ordered("orders:2", "", True, 100)
@@ -314,6 +329,11 @@ def numeric_range(spark, d):
     return typed.numeric_range(typed_rows(spark, d), 20, 60, 700).select("key", "type", F.round("number", 4).alias("number"))
 
 
+@query(f"WITH {TYPED} SELECT key, type, round(coalesce(CAST(i AS DOUBLE), d), 4) AS number FROM typed WHERE coalesce(CAST(i AS DOUBLE), d) BETWEEN 20 AND 60")
+def numeric_range_whole(spark, d):
+    return typed.numeric_range(typed_rows(spark, d), 20, 60).select("key", "type", F.round("number", 4).alias("number"))
+
+
 @query(f"WITH {TYPED} SELECT key, epoch_us(ts) AS us FROM typed WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-09 12:00:00'")
 def timestamp_range(spark, d):
     return typed.timestamp_range(typed_rows(spark, d), "2024-01-05 00:00:00", "2024-01-09 12:00:00").select("key", F.unix_micros("ts").alias("us"))
@@ -329,6 +349,11 @@ def typed_range_scan(spark, d):
     return typed.range_scan(typed_rows(spark, d), "e:5", "e:6", 300).select("key", "type")
 
 
+@query(f"WITH {TYPED} SELECT key, type FROM typed WHERE key BETWEEN 'e:5' AND 'e:6'")
+def typed_range_scan_whole(spark, d):
+    return typed.range_scan(typed_rows(spark, d), "e:5", "e:6").select("key", "type")
+
+
 @query(f"WITH {TYPED} SELECT key, type, coalesce(CAST(i AS VARCHAR), printf('%.6f', d), s, strftime(ts, '%Y-%m-%d %H:%M:%S'), CAST(dt AS VARCHAR), 'NULL') AS text FROM typed")
 def typed_text(spark, d):
     return typed.text(typed_rows(spark, d))
