@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import sys
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._common import worker_cache
-
 U = np.uint64
-#: Odd multipliers for polynomial hashes modulo 2**64 and a finaliser.
+#: Odd multipliers of the hashes.
 BASE, BASE2, MIX = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED558CCD)
 
 
@@ -43,45 +41,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below n at least."""
-
-    def make(n):
-        inverse = U(pow(int(base), -1, 1 << 64))
-        out = []
-        for b in (base, inverse):
-            p = np.full(n, b, U)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=U))
-        return n, *out
-
-    size, up, down = worker_cache(("powers", int(base)), lambda: make(n))
-    if size < n:
-        sys.__dict__["_lodestone_cache"].pop(("powers", int(base)))
-        size, up, down = worker_cache(("powers", int(base)), lambda: make(n + (n >> 3)))
-    return up, down
-
-
-def _running(values: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], dtype=U, out=total[1:])
-    return total, down
-
-
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span [start, end)."""
-    table = worker_cache("byte values", lambda: np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.int64).astype(U))
-    total, down = _running(table[data], BASE)
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * BASE2)
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number of two, in this order: one to one in either, and no polynomial."""
+    x = a * BASE
+    x ^= x >> U(32)
+    x += b
+    x *= MIX
+    return x ^ (x >> U(29))
 
 
-def rolling(values: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
-    """Hash of every k consecutive values, by start; shorter inputs give none."""
-    if len(values) < k:
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, with eight zeros behind the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+#: The low n bytes of a lane.
+LANE_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+#: Bytes of a span from which on it is hashed by itself.
+LONG_SPAN = 256
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span [start, end), eight bytes a step; another one for another ``key``."""
+    size = end - start
+    lane = lanes(data)
+    out = combine(size.astype(U) * BASE2 + U(key), lane[start] & LANE_MASK[np.clip(size, 0, 8)])
+    left = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    at = 8
+    while len(left):
+        out[left] = combine(out[left], lane[start[left] + at] & LANE_MASK[np.minimum(size[left] - at, 8)])
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=key.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def same_spans(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """True where the spans of this size from x_start and y_start on have the same bytes; x and y are lanes."""
+    out = (x[x_start] ^ y[y_start]) & LANE_MASK[np.clip(size, 0, 8)] == 0
+    left, at = np.flatnonzero(out & (size > 8) & (size <= LONG_SPAN)), 8
+    while len(left):
+        out[left] = (x[x_start[left] + at] ^ y[y_start[left] + at]) & LANE_MASK[np.minimum(size[left] - at, 8)] == 0
+        at += 8
+        left = left[out[left] & (size[left] > at)]
+    for i in np.flatnonzero(out & (size > LONG_SPAN)):
+        a, b, n = x_start[i], y_start[i], size[i]
+        out[i] = x[a + n - 8] == y[b + n - 8] and np.array_equal(x[a : a + n - 7 : 8], y[b : b + n - 7 : 8])
+    return out
+
+
+def rolling(values: np.ndarray, k: int, key: np.uint64 = BASE) -> np.ndarray:
+    """Hash of every k consecutive values, by start; shorter inputs give none.  Windows of powers of two are combined."""
+    n = len(values) - k + 1
+    if n <= 0:
         return np.zeros(0, U)
-    total, down = _running(values, base)
-    return mix((total[k:] - total[:-k]) * down[: len(values) - k + 1])
+    out, done = np.full(n, key, U), 0
+    power, part = 1, values
+    while True:
+        if k & power:
+            out = combine(out, part[done : done + n])
+            done += power
+        if power * 2 > k:
+            return out
+        part = combine(part[:-power], part[power:])
+        power *= 2
 
 
 def white(data: np.ndarray) -> np.ndarray:

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, blocks, utf8, words
-from ._common import durable, worker
+from ._common import arrow, durable
 
 #: Bytes of a chunk at about most (a longer text stands alone), and documents.
 CHUNK, CHUNK_DOCS = 1 << 20, 1 << 12
 #: Hashes that one bucket holds at about most, and buckets at least.
-BUCKET, LEAST_BUCKETS = 1 << 23, 24
+BUCKET, LEAST_BUCKETS = 1 << 22, 24
 
 
 def chunked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -43,7 +43,7 @@ def chunked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     seq += 1
 
     given = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return durable(given.mapInArrow(worker(run), f"chunk bigint, ids array<{id_type}>, ends array<bigint>, body binary, n_words bigint"), "chunks")
+    return durable(arrow(given, run, f"chunk bigint, ids array<{id_type}>, ends array<bigint>, body binary, n_words bigint"), "chunks")
 
 
 def opened(ends, body) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +65,21 @@ def buckets(value: np.ndarray, n: int) -> np.ndarray:
     return (((value >> U(32)) * U(n)) >> U(32)).astype(np.int64)
 
 
+def to_buckets(sent: DataFrame, n: int) -> DataFrame:
+    """Rows by bucket; a task gets its buckets one after the other, sorted by the JVM, which may spill."""
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
 def by_bucket(batches):
-    """(bucket, rows) of all buckets that a partition has; it holds bucket_count's share of the hashes."""
-    held: dict[int, list] = {}
+    """(bucket, rows) of each bucket that a partition of :func:`to_buckets` has; one bucket is held at a time."""
+    now, held = None, []
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
         for row in zip(*columns):
-            held.setdefault(row[0], []).append(row[1:])
-    while held:
-        yield held.popitem()
+            if row[0] != now and held:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row[1:])
+    if held:
+        yield now, held

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests in one process) a temporary
-    folder is made and set.
+    Only where that setting is absent and the master is local (tests in one
+    process) a temporary folder is made; executors elsewhere could not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lodestone_dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = "file://" + own
@@ -86,6 +88,18 @@ def worker(run, rows: int = 1024):
     return wrapped
 
 
+#: Bytes of an Arrow batch at about most, where the session has Spark's default of 64 MiB.
+BATCH_BYTES = 4 << 20
+
+
+def arrow(df: DataFrame, run, schema, rows: int = 1024) -> DataFrame:
+    """``df.mapInArrow`` of :func:`worker`'s ``run`` over batches that are bounded in bytes, not only in rows."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name).rstrip("b") == str(64 << 20):
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(worker(run, rows), schema)
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than limit + 1."""
     return df.limit(limit + 1).count() <= limit

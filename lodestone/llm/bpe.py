@@ -3,8 +3,10 @@
 Texts are split into pieces by the tokenizer's pattern, distinct pieces are
 encoded once, bucketed by length into padded matrices of ids.  In each round
 every row merges its leftmost pair of the least rank (found in a hash table)
-and is compacted; rows without a pair leave.  A piece above ``LONG`` bytes
-follows the same rule by a heap, since rounds would cost its length squared.
+and is compacted; rows without a pair leave.  A piece above ``LONG`` bytes is a
+matrix of one row, and a round merges all places of its least rank that the
+rule would merge one after the other.  Encoded pieces are remembered by a hash
+and told apart by their bytes.
 
 Defined results: a null or empty text has no ids and decodes to no bytes;
 texts are encoded whole, however long; repeated rows each give a row; other
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import os
 import re
 
 import numpy as np
@@ -23,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import HashTable, U, blocks, gather, mix, span_hash, utf8
-from ._common import worker, worker_cache
+from ._bytes import HashTable, U, blocks, gather, lanes, mix, same_spans, span_hash, utf8
+from ._common import arrow, worker_cache
 
-#: Bytes of a piece from which on a heap takes the place of rounds.
+#: Bytes of a piece from which on it has a matrix of its own.
 LONG = 256
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 1 << 19
+#: Distinct pieces that a worker remembers before it starts anew, and bytes of theirs.
+REMEMBERED, REMEMBERED_BYTES = 1 << 18, 1 << 23
 #: Bytes of text that are worked on at once; memory is some 60 times that.
 BLOCK = 1 << 19
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -194,9 +196,10 @@ class Bpe:
         return cls(vocabulary, keys, first.astype(np.int32), merged, False, added)
 
     def _clear(self):
-        self.known = HashTable()
+        self.known, self.salt = HashTable(), int.from_bytes(os.urandom(7), "little")
         self.ids, self.at, self.len = np.zeros(1 << 20, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.n_ids = self.n_known = 0
+        self.raw, self.raw_at, self.raw_len = np.zeros(1 << 20, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.n_ids = self.n_known = self.n_raw = 0
 
     def _rank(self, a, b):
         return self.pairs.find(mix(a.astype(U) << U(32) | b.astype(U)))
@@ -243,38 +246,42 @@ class Bpe:
                     rank[ok, p[ok]] = np.where(found < 0, none, found)
 
     def _long(self, piece: np.ndarray) -> np.ndarray:
-        """The same rule for one long piece: a heap of (rank, position) over a linked list."""
-        ids = self.byte_id[piece].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self._rank(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))
-        rank = [*first.tolist(), -1]
-        heap = [(r, i) for i, r in enumerate(rank) if r >= 0]
-        heapq.heapify(heap)
-        alive = bytearray(b"\1") * n
-        memo: dict[tuple[int, int], int] = {}
-
-        def pair(a, b):
-            if (a, b) not in memo:
-                memo[a, b] = int(self._rank(np.array([a]), np.array([b]))[0])
-            return memo[a, b]
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or rank[i] != r:
-                continue
-            j = after[i]
-            ids[i], alive[j] = int(self.merged[r]), 0
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0:
-                    m = after[k]
-                    rank[k] = pair(ids[k], ids[m]) if m < n else -1
-                    if rank[k] >= 0:
-                        heapq.heappush(heap, (rank[k], k))
-        return np.array([x for x, live in zip(ids, alive) if live], np.int32)
+        """The same rule for one long piece, a run of merges a round.
+
+        Places of the least rank are taken from the left, up to the first whose
+        merge makes a pair of that rank or less: that pair would come next.
+        """
+        none = np.int32(2**31 - 1)
+
+        def ranks(a, b):
+            found = self._rank(a, b)
+            return np.where((found < 0) | (a < 0) | (b < 0), none, found)
+
+        ids = self.byte_id[piece]
+        rank = np.append(ranks(ids[:-1], ids[1:]), none)
+        while (least := rank.min()) != none:
+            at = np.flatnonzero(rank == least)
+            run = np.concatenate([[True], np.diff(at) > 1])
+            first = at[run][np.cumsum(run) - 1]
+            at = at[(at - first) % 2 == 0]  # places in a run of equal ids overlap
+            new = self.merged[least]
+            behind = np.concatenate([[False], np.diff(at) == 2])
+            left = np.where(behind, new, np.where(at > 0, ids[at - 1], -1))
+            right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            made = np.full(len(at), new)
+            early = np.flatnonzero(np.minimum(ranks(left, made), ranks(made, right)) <= least)
+            if len(early):
+                at = at[: early[0] + 1]
+            ids[at] = new
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank = ids[keep], rank[keep]
+            at = at - np.arange(len(at))
+            for p in (at, at[at > 0] - 1):
+                p = p[p + 1 < len(ids)]
+                rank[p] = ranks(ids[p], ids[p + 1])
+            rank[-1] = none
+        return ids
 
     def encode_pieces(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of byte spans, end to end, and their number for each span."""
@@ -337,36 +344,49 @@ class Bpe:
         at = lambda x: cut[np.searchsorted(edges, x)]
         return np.insert(ids, at(place), token), at(bare) + before
 
+    def _remember(self, data: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Encode pieces of distinct keys that are not known."""
+        if self.n_raw + size.sum() + 8 > len(self.raw):
+            bigger = np.zeros(2 * (self.n_raw + int(size.sum()) + 8), np.uint8)
+            bigger[: self.n_raw] = self.raw[: self.n_raw]
+            self.raw = bigger
+        ids, count = self.encode_pieces(data, start, size)
+        new = {"ids": ids, "at": self.n_ids + np.cumsum(count) - count, "len": count, "raw_at": self.n_raw + np.cumsum(size) - size, "raw_len": size}
+        for name, values in new.items():
+            kept, used = getattr(self, name), self.n_ids if name == "ids" else self.n_known
+            if used + len(values) > len(kept):
+                bigger = np.zeros(2 * (used + len(values)), kept.dtype)
+                bigger[:used] = kept[:used]
+                setattr(self, name, kept := bigger)
+            kept[used : used + len(values)] = values
+        self.raw[self.n_raw : self.n_raw + int(size.sum())] = gather(data, start, size)
+        self.known.add(key, np.arange(self.n_known, self.n_known + len(key), dtype=np.int32))
+        self.n_ids, self.n_known, self.n_raw = self.n_ids + len(ids), self.n_known + len(key), self.n_raw + int(size.sum())
+
     def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, cut = pieces(data, off)
         end = np.append(start[1:], len(data))
-        key = span_hash(data, start, end)
+        size = end - start
+        if self.n_known > REMEMBERED or self.n_raw > REMEMBERED_BYTES:
+            self._clear()
+        key = span_hash(data, start, end, self.salt)
         slot = self.known.find(key)
         miss = np.flatnonzero(slot < 0)
         if len(miss):
             fresh, one = np.unique(key[miss], return_index=True)
-            if self.n_known + len(fresh) > REMEMBERED:
-                self._clear()
-                fresh, one = np.unique(key, return_index=True)
-                miss = np.arange(len(key))
             one = miss[one]
-            ids, count = self.encode_pieces(data, start[one], (end - start)[one])
-            for name, used, new in (("ids", self.n_ids, len(ids)), ("at", self.n_known, len(fresh)), ("len", self.n_known, len(fresh))):
-                kept = getattr(self, name)
-                if used + new > len(kept):
-                    bigger = np.zeros(2 * (used + new), kept.dtype)
-                    bigger[:used] = kept[:used]
-                    setattr(self, name, bigger)
-            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            self.at[self.n_known : self.n_known + len(fresh)] = self.n_ids + np.cumsum(count) - count
-            self.len[self.n_known : self.n_known + len(fresh)] = count
-            self.known.add(fresh, np.arange(self.n_known, self.n_known + len(fresh), dtype=np.int32))
-            self.n_ids, self.n_known = self.n_ids + len(ids), self.n_known + len(fresh)
+            self._remember(data, fresh, start[one], size[one])
             slot[miss] = self.known.find(key[miss])
-        size = self.len[slot].astype(np.int64)
+        known = np.ndarray((len(self.raw) - 7,), "<u8", self.raw, strides=(1,))
+        other = (self.raw_len[slot] != size) | ~same_spans(lanes(data), start, known, self.raw_at[slot], np.minimum(size, self.raw_len[slot]))
+        flat, at, count = self.ids, self.at[slot], self.len[slot].astype(np.int64)
+        if other.any():  # pieces whose key another piece has
+            ids, count[other] = self.encode_pieces(data, start[other], size[other])
+            at[other] = self.n_ids + np.cumsum(count[other]) - count[other]
+            flat = np.concatenate([flat[: self.n_ids], ids])
         total = np.zeros(len(slot) + 1, np.int64)
-        np.cumsum(size, out=total[1:])
-        return gather(self.ids, self.at[slot], size), total[cut]
+        np.cumsum(count, out=total[1:])
+        return gather(flat, at, count), total[cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.flat, self.start[ids], self.size[ids]).tobytes()
@@ -416,4 +436,4 @@ def round_trip(docs: DataFrame, rank_path: str, id_column: str = "doc_id", text_
             names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(id_column, F.col(text_column).cast("string").alias("text")).mapInArrow(worker(run), schema)
+    return arrow(docs.select(id_column, F.col(text_column).cast("string").alias("text")), run, schema)

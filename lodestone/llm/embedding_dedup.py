@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable
+from ._common import arrow, durable
 from .components import components
 
 SAMPLE, MAX_CELLS, CELL, BLOCK, ROUNDS = 20_000, 1024, 4096, 512, 12
@@ -51,7 +51,7 @@ def _classes(table: DataFrame, id_column: str, vector_column: str, label_column:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1), pa.array(units, pa.binary())], ["id", "key", "label", "vec"])
 
     given = table.select(F.col(id_column).alias("id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<double>").alias("v"))
-    return given.mapInArrow(run, f"id {id_type}, key binary, label string, vec binary")
+    return arrow(given, run, f"id {id_type}, key binary, label string, vec binary")
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -106,7 +106,7 @@ def _assign(classes: DataFrame, centres: dict[int, np.ndarray], cosine: float) -
             size = pa.array(sizes[row])
             yield pa.RecordBatch.from_arrays([*taken.columns, size, pa.array(cell), pa.array(probe)], ["key", "label", "vec", "n", "size", "cell", "probe"])
 
-    return classes.select("key", "label", "vec", "n").mapInArrow(run, "key binary, label string, vec binary, n bigint, size bigint, cell bigint, probe boolean")
+    return arrow(classes.select("key", "label", "vec", "n"), run, "key binary, label string, vec binary, n bigint, size bigint, cell bigint, probe boolean")
 
 
 def forest(links: np.ndarray) -> np.ndarray:

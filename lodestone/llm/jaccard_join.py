@@ -5,7 +5,9 @@ frequency, rarest first; buckets of hashes count it and answer each chunk of
 texts with a byte per shingle.  If two sets overlap in at least k tokens more than their suffixes hold, their
 first k common tokens lie in both prefixes; so a class is indexed by every rare
 token of its plain prefix and, where that runs into frequent tokens, by every
-pair of frequent tokens of the prefix extended by one.  Classes that share an
+pair of frequent tokens of the prefix extended by one.  Prefixes of more than
+``COMBINED`` tokens have entries for single frequent tokens instead, so that a
+text has no more entries than half of COMBINED squared, or than its prefix.  Classes that share an
 index entry are compared within blocks: the parity of hashed tokens bounds the
 symmetric difference from below, which rules out all but near misses.  Of the
 pairs that pass, only a spanning forest is verified with the whole sets; where a
@@ -14,14 +16,14 @@ link between different texts is lost, and pairs within a group are not emitted.
 
 Defined results: texts without words and null texts have an empty set and link
 with nothing; texts are taken whole; repeated rows share a class; a null id
-counts for no component's name; other columns are not read or, in
-:func:`representatives`, kept.
+counts for no component's name, and of a group without ids the class with the
+least key stays; other columns are not read or, in :func:`representatives`, kept.
+Shingles are compared as 64-bit hashes made by mixing, not by a polynomial.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +32,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import U, blocks, gather, mix, rolling, span_hash, utf8, words
-from ._chunks import CHUNK, CHUNK_DOCS, bucket_count, buckets, by_bucket, chunked, opened
-from ._common import durable, worker
+from ._chunks import CHUNK, CHUNK_DOCS, bucket_count, buckets, by_bucket, chunked, opened, to_buckets
+from ._common import arrow, durable
 from .components import components
 
-#: Bits of a token: the rest of 64 numbers the documents of a chunk while sorting.
-TOKEN_BITS = 52
+#: Bits of a token by which it is sorted first: the rest of 64 numbers the documents of a chunk.
+SORT_BITS = 52
 #: Powers of two of the document frequency from which on tokens are frequent.
 FREQUENT = 12
+#: Tokens of a prefix up to which frequent ones are combined; beyond, single ones are indexed.
+COMBINED = 32
 #: Bits of a set's parities: at least these, and at least its size.
 PARITY = 1024
 #: Members of an index entry that one group compares; larger entries are split.
-BLOCK = 1024
+BLOCK = 512
+#: Rows of index entries that a task works on at once.
+HELD = 1 << 14
 #: Bits of the filter that keeps sets of uninvolved texts from being shuffled (2 MiB, whatever the input).
 FILTER = 1 << 24
 
@@ -78,9 +84,14 @@ def sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     if len(short):  # the whole sequence as one shingle
         whole = [mix(rolling(value[word_off[i] : word_off[i + 1]], int(count[i])) + U(count[i])) for i in short]
         doc, token = np.concatenate([doc, short]), np.concatenate([token, *whole])
-    key = np.sort(doc.astype(U) << U(TOKEN_BITS) | token >> U(64 - TOKEN_BITS))
-    key = key[_fresh(key)]
-    return key & U((1 << TOKEN_BITS) - 1), np.searchsorted((key >> U(TOKEN_BITS)).astype(np.int64), np.arange(docs + 1))
+    key = doc.astype(U) << U(SORT_BITS) | token >> U(64 - SORT_BITS)
+    order = np.argsort(key)
+    key, token = key[order], token[order]
+    if np.any((key[1:] == key[:-1]) & (token[1:] < token[:-1])):  # tokens of a document that differ in their last bits only
+        order = np.lexsort((token, key))
+        key, token = key[order], token[order]
+    fresh = _fresh(key) | _fresh(token)
+    return token[fresh], np.searchsorted((key[fresh] >> U(SORT_BITS)).astype(np.int64), np.arange(docs + 1))
 
 
 def column_sets(column, size: int):
@@ -162,17 +173,21 @@ def signatures(token: np.ndarray, power: np.ndarray, off: np.ndarray, percent: i
     order = np.argsort(doc << 8 | power, kind="stable")  # rarest first; tokens ascend already
     token, power = token[order], power[order]
     first = np.arange(len(token)) - off[:-1][doc] < prefix[doc]
-    taken = first & (power > 0) & (power < FREQUENT)
+    # frequent tokens alone where the prefix is long, or two sets may link by one common token; a size within reach of
+    # another that is not combined has both kinds of entries
+    longest = COMBINED * 100 // (100 - percent)
+    combined = n <= longest
+    alone = (100 * n >= percent * longest) | (percent * n <= 100)
+    taken = first & (power > 0) & ((power < FREQUENT) | alone[doc])
     cut = np.searchsorted(np.flatnonzero(taken), off)
     single = mix(token[taken] ^ U(0x5851F42D4C957F2D))
     for i, row in enumerate(some):
         out[row] = single[cut[i] : cut[i + 1]]
-    for i in np.unique(doc[first & (power >= FREQUENT)]):  # the prefix runs into frequent tokens: pairs of them, one token further
+    for i in np.unique(doc[first & (power >= FREQUENT) & combined[doc]]):  # the prefix runs into frequent tokens: pairs of them, one token further
         reach = slice(off[i], off[i] + min(prefix[i] + 1, n[i]))
         own = token[reach][power[reach] >= FREQUENT]
-        if len(own) > 1:
-            a, b = np.array(list(combinations(range(len(own)), 2))).T
-            out[some[i]] = np.concatenate([out[some[i]], mix(mix(own[a]) * U(3) + own[b])])
+        a, b = np.triu_indices(len(own), 1)
+        out[some[i]] = np.concatenate([out[some[i]], mix(mix(own[a]) * U(3) + own[b])])
     return out
 
 
@@ -271,9 +286,9 @@ def _candidates(percent: int, across: bool):
                 good = _close(n, parity, large, i, j, percent)
                 yield i[good], j[good]
 
-    def arrow(batches):
+    def run(batches):
         names = ["entry", "i", "j", "block", "key", "n", "parity", "root"] if across else ["entry", "i", "j", "block", "key", "n", "parity"]
-        kept, rows, parent, emitted = [], 0, {}, set()
+        kept, rows, parent = [], 0, {}
 
         def find(x):
             while parent.setdefault(x, x) != x:
@@ -283,50 +298,43 @@ def _candidates(percent: int, across: bool):
 
         def flush(table):
             cols = {c: table[c].to_numpy() if c not in ("key", "parity", "root") else np.array(table[c].to_pylist(), object) for c in names}
-            out = []
             if not len(cols["n"]):
-                return out
-            number, ident = {}, np.zeros(len(cols["n"]), np.int64)
-            for at, k in enumerate(cols["key"]):
-                ident[at] = number.setdefault(k, len(number))
-            label = list(number)
+                return
+            label, ident = np.unique(cols["key"], return_inverse=True)
             for i, j in pairs(cols):
                 a, b = np.minimum(ident[i], ident[j]), np.maximum(ident[i], ident[j])
-                for code in np.unique(a << 32 | b).tolist():
-                    x, y = label[code >> 32], label[code & 0xFFFFFFFF]
-                    if across:
-                        if (x, y) not in emitted:
-                            emitted.add((x, y))
-                            out.append((x, y))
-                    else:
-                        p, q = find(x), find(y)
+                code = np.unique(a << 32 | b)
+                x, y = label[code >> 32], label[code & 0xFFFFFFFF]
+                if not across:
+                    new = []
+                    for k, (p, q) in enumerate(zip(x, y)):
+                        p, q = find(p), find(q)
                         if p != q:
                             parent[max(p, q)] = min(p, q)
-                            out.append((x, y))
-            return out
-
-        def emit(found):
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], ["a", "b"])
+                            new.append(k)
+                    x, y = x[new], y[new]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.binary()), pa.array(y.tolist(), pa.binary())], ["a", "b"])
 
         for batch in batches:
             kept.append(pa.Table.from_batches([batch]))
             rows += batch.num_rows
-            if rows >= 1 << 16:  # hold back the last, perhaps unfinished group
+            if rows >= HELD:  # hold back the last, perhaps unfinished group
                 table = pa.concat_tables(kept).combine_chunks()
                 key = [table[c].to_numpy() for c in ("entry", "i", "j")]
                 end = table.num_rows - 1
                 cut = int(np.flatnonzero((key[0] != key[0][end]) | (key[1] != key[1][end]) | (key[2] != key[2][end])).max(initial=-1)) + 1
-                yield emit(flush(table.slice(0, cut)))
+                yield from flush(table.slice(0, cut))
                 kept, rows = [table.slice(cut)], table.num_rows - cut
         if kept:
-            yield emit(flush(pa.concat_tables(kept).combine_chunks()))
+            yield from flush(pa.concat_tables(kept).combine_chunks())
 
-    return arrow
+    return run
 
 
 def _grouped(index: DataFrame, percent: int, across: bool) -> DataFrame:
     spread = index.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-    return spread.mapInArrow(worker(_candidates(percent, across)), "a binary, b binary").distinct()
+    return arrow(spread, _candidates(percent, across), "a binary, b binary").distinct()
 
 
 def _mark_filter(marks: DataFrame) -> np.ndarray:
@@ -365,7 +373,7 @@ def _verified(edges: DataFrame, classes: DataFrame, body: DataFrame, size: int,
                         own.append(token[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(own, pa.binary())], ["key", "tokens"])
 
-    found = body.mapInArrow(worker(run), "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    found = arrow(body, run, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
     found = durable(found.join(nodes, "key", "left_semi"), "sets")
     pairs = edges.join(found.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
 
@@ -378,7 +386,7 @@ def _verified(edges: DataFrame, classes: DataFrame, body: DataFrame, size: int,
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(worker(test), "a binary, b binary, ok boolean")
+    return arrow(pairs.select("a", "b", "x", "y"), test, "a binary, b binary, ok boolean")
 
 
 def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str):
@@ -387,11 +395,11 @@ def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
     chunks = chunked(docs, id_column, text_column)
     n_buckets = bucket_count(chunks)
     body = chunks.select("chunk", "ends", "body")
-    sent = body.mapInArrow(worker(_sent(size, n_buckets)), "bucket bigint, chunk bigint, values binary, counts binary")
-    powers = sent.repartition(n_buckets, "bucket").mapInArrow(worker(_summed), "chunk bigint, bucket bigint, powers binary")
+    sent = arrow(body, _sent(size, n_buckets), "bucket bigint, chunk bigint, values binary, counts binary")
+    powers = arrow(to_buckets(sent, n_buckets), _summed, "chunk bigint, bucket bigint, powers binary")
     powers = powers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "powers")).alias("found"))  # at most a byte a token of the chunk
     told = chunks.join(powers, "chunk", "left").select("ids", "ends", "body", "found")
-    shingled = durable(told.mapInArrow(worker(_shingled(size, percent, n_buckets)), f"id {id_type}, n bigint, key binary, parity binary, entries array<bigint>, mark bigint"), "shingled")
+    shingled = durable(arrow(told, _shingled(size, percent, n_buckets), f"id {id_type}, n bigint, key binary, parity binary, entries array<bigint>, mark bigint"), "shingled")
     classes = shingled.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("entries").alias("entries"), F.first("mark").alias("mark"))
     classes = durable(classes, "classes")
     index = classes.select("key", F.explode("entries").alias("entry"))
@@ -416,8 +424,9 @@ def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
         if found.limit(1).count():
             reach = durable(components(found.unionByName(reach.select(F.col("node").alias("a"), F.col("root").alias("b")))), "reach")
     member = reach.join(classes.select(F.col("key").alias("node"), "least"), "node")
-    best = member.groupBy("root").agg(F.min("least").alias("component"), F.min_by("node", "least").alias("keep"))
-    named = member.join(best, "root").select(F.col("node").alias("key"), "component", "keep")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))  # classes without an id come last
+    best = member.groupBy("root").agg(first.alias("first"))
+    named = member.join(best, "root").select(F.col("node").alias("key"), F.col("first.least").alias("component"), F.col("first.node").alias("keep"))
     return shingled.select("id", "n", "key"), classes.select("key", "least"), durable(named, "named")
 
 
@@ -449,6 +458,6 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_column
             row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
             yield pa.RecordBatch.from_arrays([row, batch.column(id_at), pa.array(keys, pa.binary())], ["row", "id", "key"])
 
-    keyed = docs.mapInArrow(worker(run), T.StructType([T.StructField("row", docs.schema), T.StructField("id", docs.schema[id_column].dataType), T.StructField("key", T.BinaryType())]))
+    keyed = arrow(docs, run, T.StructType([T.StructField("row", docs.schema), T.StructField("id", docs.schema[id_column].dataType), T.StructField("key", T.BinaryType())]))
     one = keyed.groupBy("key").agg(F.coalesce(F.min_by("row", "id"), F.first("row")).alias("row"))
     return one.join(gone, F.col("key") == F.col("k"), "left_anti").select("row.*")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._common import durable, worker
+from ._common import arrow, durable
 
 LIMIT, END = 2048, 1
 
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, end_id: in
                 columns.append(pa.array(own, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, [id_column, "start", "length", "ids_crc32", "doc_tokens", "task", "local", "ids"][: len(columns)])
 
-    return docs.select(id_column, F.col(text_column).cast("string").alias("text")).mapInArrow(worker(run), schema)
+    return arrow(docs.select(id_column, F.col(text_column).cast("string").alias("text")), run, schema)
 
 
 def pack(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, end_id: int = END, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
@@ -148,4 +148,4 @@ def pack(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, end_id: int
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence[at] + own_rank - rank[at]), pa.array(offset[at])], [*kept, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in kept)
-    return ranked.select(*kept, "rank").mapInArrow(worker(place), f"{fields}, sequence_id bigint, offset bigint")
+    return arrow(ranked.select(*kept, "rank"), place, f"{fields}, sequence_id bigint, offset bigint")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import worker
+from ._common import arrow
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -193,7 +193,7 @@ def find(docs: DataFrame, min_bits: float = MIN_BITS, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(base, pa.string()), pa.array([joined(r) for r in rows], pa.string())], [id_column, *counts, "base_sha256", "spans"])
 
     schema = f"`{id_column}` {id_type}, {', '.join(f'{c} bigint' for c in counts)}, base_sha256 string, spans string"
-    return docs.select(id_column, F.col(text_column).cast("string").alias("text")).mapInArrow(worker(run), schema)
+    return arrow(docs.select(id_column, F.col(text_column).cast("string").alias("text")), run, schema)
 
 
 def redact(docs: DataFrame, min_bits: float = MIN_BITS, text_column: str = "text") -> DataFrame:
@@ -207,4 +207,4 @@ def redact(docs: DataFrame, min_bits: float = MIN_BITS, text_column: str = "text
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(worker(run), schema)
+    return arrow(docs, run, schema)

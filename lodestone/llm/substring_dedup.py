@@ -11,7 +11,8 @@ Documents travel as compressed chunks.  A chunk sends each bucket of hashes the
 sorted distinct ones it has, so a passage on a third of all pages is one entry
 per chunk, and gets back bits.  Anchors are found with 32-bit hashes within a
 bucket of bounded size (a false one costs a window, not a result); windows match
-on 64 bits and a bucket number from another hash.
+on 64 bits and a bucket number from another hash, of words that are hashed to 64
+bits by mixing, not by a polynomial.
 
 Defined results: null and empty texts have no words; texts are taken whole; a
 repeated row is another document, so its passages repeat; a text shorter than
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BASE2, U, covered, gather, rolling, span_hash, window_mask, words
-from ._chunks import bucket_count, buckets, by_bucket, chunked, opened
-from ._common import durable, worker
+from ._bytes import BASE2, U, covered, gather, mix, rolling, span_hash, window_mask, words
+from ._chunks import bucket_count, buckets, by_bucket, chunked, opened, to_buckets
+from ._common import arrow, durable
 
 WINDOW = 35
 
@@ -119,7 +120,7 @@ def _extended(word_off, value, numbers, block: int, n_buckets: int):
     starts = (at[hit][:, None] - np.arange(block)[::-1][None, :]).reshape(-1)
     starts = starts[starts >= np.repeat(word_off[owner], block)]
     starts = starts[window_mask(word_off, size)[starts]]
-    hashed, other = rolling(value, size)[starts], rolling(value, size, BASE2)[starts]
+    hashed, other = rolling(value, size)[starts], rolling(mix(value + BASE2), size)[starts]
     bucket = buckets(other, n_buckets)
     order = np.lexsort((hashed, bucket))
     h, b = hashed[order], bucket[order]
@@ -204,15 +205,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
     n_buckets = bucket_count(chunks)
     body = chunks.select("chunk", "ends", "body")
 
-    probes = body.mapInArrow(worker(_probe(block, n_buckets)), "bucket bigint, chunk bigint, own binary, number binary, probes binary, again binary")
-    hits = probes.repartition(n_buckets, "bucket").mapInArrow(worker(_find_anchors), "chunk bigint, numbers binary")
+    probes = arrow(body, _probe(block, n_buckets), "bucket bigint, chunk bigint, own binary, number binary, probes binary, again binary")
+    hits = arrow(to_buckets(probes, n_buckets), _find_anchors, "chunk bigint, numbers binary")
     anchors = durable(hits.groupBy("chunk").agg(F.collect_list("numbers").alias("numbers")), "anchors")  # at most a chunk's blocks
 
     hit = body.join(anchors, "chunk").select("chunk", "ends", "body", "numbers")
-    sent = hit.mapInArrow(worker(_windows(block, n_buckets)), "bucket bigint, chunk bigint, values binary, again binary")
-    matched = sent.repartition(n_buckets, "bucket").mapInArrow(worker(_match), "chunk bigint, bucket bigint, bits binary")
+    sent = arrow(hit, _windows(block, n_buckets), "bucket bigint, chunk bigint, values binary, again binary")
+    matched = arrow(to_buckets(sent, n_buckets), _match, "chunk bigint, bucket bigint, bits binary")
     found = durable(matched.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")), "found")  # at most a chunk's windows, in bits
 
     full = chunks.join(anchors, "chunk", "left").join(found, "chunk", "left").select("ids", "ends", "body", "numbers", "found")
     schema = f"`{id_column}` {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    return full.mapInArrow(worker(_cut(block, n_buckets, id_column, with_text)), schema)
+    return arrow(full, _cut(block, n_buckets, id_column, with_text), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._common import worker
+from ._common import arrow, durable
 
 WIDTH = 64
 
@@ -34,7 +34,7 @@ def histogram(docs: DataFrame, vocabulary_path: str, text_column: str = "text")
             length, count = np.unique(np.concatenate([np.zeros(0, np.int64), *sizes]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(count, pa.int64())], ["n_tokens", "n"])
 
-    parts = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(worker(run), "n_tokens bigint, n bigint")
+    parts = arrow(docs.select(F.col(text_column).cast("string").alias("text")), run, "n_tokens bigint, n bigint")
     return parts.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
 
 
@@ -77,4 +77,4 @@ def limits(hist: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, text_column: str = "text") -> DataFrame:
-    return limits(histogram(docs, vocabulary_path, text_column))
+    return limits(durable(histogram(docs, vocabulary_path, text_column), "lengths"))  # read twice, encoded once
