@@ -1,209 +1,368 @@
 """Operator 8: quality rules and n-gram perplexity bands.
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows.
-The method is a character trigram model with modified Kneser-Ney smoothing, one
-per language: bytes fold to 64 symbols, Spark counts the trigrams of all
-documents, and the model is kept as arrays of log-probabilities by sorted
-trigram code, at most 64**3 entries a language however large the corpus is.
-Documents whose perplexity leaves their language's band (median plus or minus a
-multiple of the median deviation, both from a histogram of all documents) are
-rejected.  The multiples keep ``GOOD_SHARE`` of the documents that ``labels``
-call good; without enough labels they are ``LOWER`` and ``UPPER``.  A document
-off its language's median counts every word by the language that prices it
-least, so that a wrong language code or a mixture is not taken for junk.
+The method is a modified Kneser-Ney model of byte n-grams up to ``ORDER``, one
+per language.  Spark counts the n-grams of all documents as they are (a code
+holds the bytes, none are folded) and works out discounts, interpolated
+probabilities and back-off weights by joins; the model is a durable table that
+grows with the corpus.  For scoring, a language's n-grams of one order are a
+sorted array of hashes with arrays of log-probabilities beside it.  Up to
+``BROADCAST_GRAMS`` n-grams the driver works out the same numbers from the
+counts and broadcasts the arrays; a larger model is joined with the distinct
+n-grams of each chunk of texts.
+
+A text's score is its bits a byte less the bits that its language's model has
+on average, at order ``ORDER`` and, from the same look-up, at order ``LOW``.
+A text that its language prices badly is priced by the language that prices
+each ``RUN`` words least (at each order; such a score is 0 at least), so that a
+mixture is not taken for junk.  Documents are rejected whose score at either
+order leaves their language's band: median plus or minus a multiple of the
+median deviation, both over all documents; but not if, under a wrong language
+code, they lie within the band of the other language that fits them best.
+The multiples hold ``GOOD_SHARE`` of the documents of
+the language that ``labels`` call good; of all languages where these are fewer
+than ``LEAST_GOOD``, and without enough labels they are ``LOWER`` and ``UPPER``.
 
 Defined results: null and empty texts have no words and fail the base rules; a
 null language is a language of its own; texts are taken whole; repeated rows
-count each; further columns pass through :func:`keep`.  Languages are codes, so
-that there are a few hundred models at most.
+count each; ties in the median and at a band's edge are inside the band;
+further columns pass through :func:`keep`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import U, blocks, covered, mix, rolling, span_hash, utf8, window_mask, words
-from ._common import worker
+from ._bytes import U, blocks, covered, gather, mix, rolling, span_hash, utf8, window_mask, words
+from ._common import arrow, durable, forget
 
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
-SIZE = 64
-#: Bins of log2 perplexity, per bit.
-BINS = 256
-#: Widths of the band in median deviations, below and above the median, where labels are too few.
+#: Bytes of the longest n-grams, and of those of the second score.
+ORDER, LOW = 5, 3
+#: N-grams of order ORDER, in all languages, up to which the model is worked out at the driver and broadcast (some 100 MB then).
+BROADCAST_GRAMS = 1 << 21
+#: Distinct n-grams that a task holds at about most before it hands counts on.
+HELD = 1 << 21
+#: Widths of the bands in median deviations, below and above the median, where labels are too few.
 LOWER, UPPER = 6.0, 6.0
-#: Share of the documents labelled good that the band holds, half of the others to each side, and labels that it takes.
-GOOD_SHARE, LEAST_GOOD = 0.995, 400
-#: Deviations from the median within which a document is not priced by other languages.
-NEAR = 3.0
-#: Steps of a deviation in the histogram of labelled documents.
-STEPS = 16
-#: Bins that a deviation counts as at least, as where many documents are equal.
-LEAST_DEVIATION = 6
+#: Share of the documents labelled good that a band holds, half of the others to each side, labels that it takes, and its least width.
+GOOD_SHARE, LEAST_GOOD, LEAST_WIDTH = 0.995, 200, 3.0
+#: Steps of a score, per bit, and those that a deviation has at least.
+BINS, LEAST_DEVIATION = 256, 4
+#: Bits a byte off its language's average from which on other languages price a text, and words that are priced together.
+FAR, RUN = 0.1, 1
 BLOCK = 1 << 19
-
-
-def fold_table() -> np.ndarray:
-    """Symbol of every byte: letters without case, digits, blanks, seven groups of marks, bytes above ASCII by their low bits."""
-    out = np.full(256, 35, np.uint8)
-    for i in range(26):
-        out[97 + i] = out[65 + i] = 1 + i
-    out[48:58] = 27
-    out[[9, 10, 11, 12, 13, 32]] = 28
-    for i, group in enumerate((b".!?", b",;:", b"\"'`", b"()[]{}", SYMBOLS, b"-_/\\")):
-        out[list(group)] = 29 + i
-    high = np.arange(128, 256)
-    out[high] = np.where(high < 0xC0, 36 + (high & 63) % 20, 56 + (high & 63) % 8)
+#: Bytes of text in a chunk where the model is joined.
+CHUNK = 1 << 20
+SCORES = ["high", "low", "other_high", "other_low"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def grams(data: np.ndarray, off: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Codes of the ORDER bytes that end at each byte from a to b; zeros stand before a document."""
+    behind = np.zeros(7 + b - a, np.uint8)
+    known = min(a, 7)
+    behind[7 - known :] = data[a - known : b]
+    out = np.ndarray((b - a,), ">u8", behind, strides=(1,)).astype(U) & U((1 << 8 * ORDER) - 1)
+    first = off[np.searchsorted(off, a - ORDER) : np.searchsorted(off, b)]
+    for k in range(ORDER - 1):  # bytes of the document before
+        at = first[(first + k >= a) & (first + k < b)] + k - a
+        out[at] &= U((1 << 8 * (k + 1)) - 1)
     return out
 
 
-FOLD = fold_table()
+def _languages(langs):
+    """Each language of a column, as its key (empty for null), with the rows that have it."""
+    for lang in pc.unique(langs).to_pylist():
+        rows = pc.is_null(langs) if lang is None else pc.fill_null(pc.equal(langs, pa.scalar(lang)), False)
+        yield "" if lang is None else "=" + lang, np.flatnonzero(rows.to_numpy(zero_copy_only=False))
+
 
+def _own(lang: Column) -> Column:
+    """A language's key."""
+    return F.when(lang.isNull(), "").otherwise(F.concat(F.lit("="), lang))
 
-def trigrams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The code of the trigram that ends at each byte; symbol 0 stands before a document."""
-    s = FOLD[data].astype(np.int32)
-    one, two = np.zeros_like(s), np.zeros_like(s)
-    one[1:], two[2:] = s[:-1], s[:-2]
-    first = off[:-1][off[1:] > off[:-1]]
-    one[first] = two[first] = 0
-    second = off[:-1][off[1:] > off[:-1] + 1] + 1
-    two[second] = 0
-    return two << 12 | one << 6 | s
 
+def count_grams(docs: DataFrame) -> DataFrame:
+    """own, code, c: the n-grams of order ORDER in all documents (columns lang, text)."""
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """lang, code, n over all documents (columns lang, text)."""
+    def merged(parts):
+        codes, counts = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(codes)
+        codes = codes[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        return codes[first], np.add.reduceat(counts[order], first)
 
     def run(batches):
-        total: dict = {}
-        for batch in batches:
-            langs = batch.column(0)
-            for lang in pc.unique(langs).to_pylist():
-                rows = pc.is_null(langs) if lang is None else pc.equal(langs, pa.scalar(lang))
-                data, off = utf8(batch.column(1).filter(rows))
-                own = total.setdefault(lang, np.zeros(SIZE**3, np.int64))
-                for a, b in blocks(off, BLOCK):
-                    own += np.bincount(trigrams(data[off[a] : off[b]], off[a : b + 1] - off[a]), minlength=SIZE**3)
-        for lang, counts in total.items():
-            code = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(counts[code])], ["lang", "code", "n"])
+        held: dict[str, list] = {}
+
+        def rows(own):
+            codes, counts = merged(held.pop(own))
+            for part in np.split(np.arange(len(codes)), range(1 << 16, len(codes), 1 << 16)):
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(part), pa.string()), pa.array(codes[part].astype(np.int64)), pa.array(counts[part])], ["own", "code", "c"])
 
-    return docs.select("lang", "text").mapInArrow(worker(run), "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for own, at in _languages(batch.column(0)):
+                data, off = utf8(batch.column(1).take(pa.array(at)))
+                for a in range(0, len(data), BLOCK):
+                    codes, counts = np.unique(grams(data, off, a, min(a + BLOCK, len(data))), return_counts=True)
+                    held.setdefault(own, []).append((codes, counts.astype(np.int64)))
+                    if sum(len(c) for c, _ in held[own]) > HELD // 2:
+                        held[own] = [merged(held[own])]
+            if sum(len(c) for parts in held.values() for c, _ in parts) > HELD:
+                for own in list(held):
+                    yield from rows(own)
+        for own in list(held):
+            yield from rows(own)
+
+    found = arrow(docs.select("lang", "text"), run, "own string, code bigint, c bigint")
+    return found.groupBy("own", "code").agg(F.sum("c").alias("c"))
+
+
+def _discounted(levels: DataFrame) -> DataFrame:
+    """own, order, code, c, ctx, taken: what modified Kneser-Ney takes from each count; a half, one and 1.5 where too few counts tell."""
+    n = [F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in range(1, 5)]
+    seen = levels.groupBy("own", "order").agg(*n)
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    enough = (F.col("n1") > 0) & (F.col("n2") > 0)
+    cuts = []
+    for k in range(1, 4):
+        usable = enough & (F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0)
+        value = F.when(usable, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(F.lit(k / 2))
+        cuts.append(F.greatest(F.lit(0.0), F.least(F.lit(float(k)), value)).alias(f"d{k}"))
+    cut = seen.select("own", "order", *cuts)
+    taken = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d1"))
+    return levels.join(cut, ["own", "order"]).select("own", "order", "code", "c", F.shiftright("code", 8).alias("ctx"), taken.alias("taken"))
+
+
+def trained(top: DataFrame) -> DataFrame:
+    """own, order, code, c, logp, low, bow of a table of counts: log2 of the interpolated probability, of that at order LOW, and of the back-off weight as a context.
+
+    Every context has at most 256 n-grams, so no window is large.  A durable table.
+    """
+    level, levels = top, top.withColumn("order", F.lit(ORDER))
+    for n in range(ORDER - 1, 0, -1):  # how many different bytes stand before the shorter n-gram
+        level = level.groupBy("own", F.col("code").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("c"))
+        levels = levels.unionByName(level.withColumn("order", F.lit(n)))
+    levels = durable(levels, "levels")
+    context = Window.partitionBy("own", "order", "ctx")
+    shares = _discounted(levels).select(
+        "own", "order", "code", "c", "ctx", ((F.col("c") - F.col("taken")) / F.sum("c").over(context)).alias("direct"), (F.sum("taken").over(context) / F.sum("c").over(context)).alias("gamma")
+    )
+    shares = durable(shares, "shares")
+    weight = shares.select("own", (F.col("order") - 1).alias("order"), F.col("ctx").alias("code"), "gamma").groupBy("own", "order", "code").agg(F.first("gamma").alias("bow"))
+    model, before, steps = None, None, []
+    for n in range(1, ORDER + 1):
+        here = shares.where(F.col("order") == n).drop("order", "ctx")
+        if n == 1:
+            now = here.select("own", "code", "c", (F.col("direct") + F.col("gamma") / 256).alias("p"))
+        else:
+            here = here.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)))
+            shorter = before.select("own", F.col("code").alias("suffix"), F.col("p").alias("q"), *(["low"] if n > LOW else []))
+            now = here.join(shorter, ["own", "suffix"]).select("own", "code", "c", (F.col("direct") + F.col("gamma") * F.col("q")).alias("p"), *(["low"] if n > LOW else []))
+        if n <= LOW:
+            now = now.withColumn("low", F.col("p"))
+        before = durable(now, f"order{n}")
+        steps.append(before)
+        model = before.withColumn("order", F.lit(n)) if n == 1 else model.unionByName(before.withColumn("order", F.lit(n)))
+    out = model.join(weight, ["own", "order", "code"], "left")
+    log = lambda c: F.log2(F.greatest(c, F.lit(1e-30))).cast("float")
+    out = durable(out.select("own", "order", "code", "c", log(F.col("p")).alias("logp"), log(F.col("low")).alias("low"), F.coalesce(log(F.col("bow")), F.lit(0.0)).cast("float").alias("bow")), "model")
+    for table in (levels, shares, *steps):
+        forget(table)
+    return out
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
+def discounts(c: np.ndarray) -> np.ndarray:
     """The three discounts of modified Kneser-Ney; a half, one and 1.5 where too few counts tell."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
-    default = np.array([0.5, 1.0, 1.5])
-    if not n[0] or not n[1]:
-        return default
-    y = n[0] / (n[0] + 2 * n[1])
-    out = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] and n[k + 1] else default[k] for k in range(3)]
+    n = [int((c == k).sum()) for k in range(1, 5)]
+    out = np.array([0.5, 1.0, 1.5])
+    if n[0] and n[1]:
+        y = n[0] / (n[0] + 2 * n[1])
+        for k in range(3):
+            if n[k] and n[k + 1]:
+                out[k] = k + 1 - (k + 2) * y * n[k + 1] / n[k]
     return np.clip(out, 0.0, [1.0, 2.0, 3.0])
 
 
-def _level(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of the last symbol (axis -1), interpolated with the lower order's."""
-    d = discounts(counts[counts > 0])
-    total = counts.sum(axis=-1, keepdims=True)
-    taken = np.where(counts >= 3, d[2], np.where(counts == 2, d[1], np.where(counts == 1, d[0], 0.0)))
-    gamma = taken.sum(axis=-1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(total > 0, (counts - taken + gamma * lower) / total, lower)
-
-
-def kneser_ney(code: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log2 probability of every trigram code, seen or not."""
-    three = np.zeros(SIZE**3)
-    three[code] = n
-    three = three.reshape(SIZE, SIZE, SIZE)
-    two = (three > 0).sum(axis=0).astype(float)  # contexts that a bigram follows
-    one = (two > 0).sum(axis=0).astype(float)
-    p = _level(one, np.full(SIZE, 1.0 / SIZE))
-    p = _level(two, p[None, :])
-    p = _level(three, p[None, :, :])
-    return np.log2(np.maximum(p, 1e-9)).reshape(-1).astype(np.float32)
-
-
-def train(docs: DataFrame) -> dict:
-    """Per language, sorted trigram codes and their counts (at most 64**3 of each)."""
-    rows = count_trigrams(docs).toPandas()
-    model = {}
-    for lang, own in rows.groupby("lang", dropna=False):
-        own = own.sort_values("code")
-        model[None if lang != lang else lang] = (own["code"].to_numpy(np.int32), own["n"].to_numpy(np.int64))
-    return model
+def kneser_ney(code: np.ndarray, c: np.ndarray) -> tuple[dict[int, tuple], tuple[float, float]]:
+    """One language's counts as :func:`trained` has them, by order: code, logp, low, bow; and its average bits."""
+    order = np.argsort(code)
+    levels = {ORDER: (code[order].astype(U), c[order])}
+    for n in range(ORDER - 1, 0, -1):
+        levels[n] = np.unique(levels[n + 1][0] & U((1 << 8 * n) - 1), return_counts=True)
+    out, before = {}, None
+    for n in range(1, ORDER + 1):
+        own, count = levels[n]
+        cuts = discounts(count)
+        taken = np.where(count >= 3, cuts[2], np.where(count == 2, cuts[1], cuts[0]))
+        ctx = own >> U(8)
+        fresh = np.concatenate([[True], ctx[1:] != ctx[:-1]])
+        at = np.flatnonzero(fresh)
+        group = np.cumsum(fresh) - 1
+        total, gamma = np.add.reduceat(count, at), np.add.reduceat(taken, at)
+        gamma = gamma / total
+        if n == 1:
+            shorter = low = 1 / 256
+        else:
+            place = np.searchsorted(before[0], own & U((1 << 8 * (n - 1)) - 1))
+            shorter, low = before[1][place], before[2][place]
+            known = np.searchsorted(before[0], ctx[at])
+            good = (known < len(before[0])) & (before[0][np.minimum(known, len(before[0]) - 1)] == ctx[at])
+            out[n - 1][3][known[good]] = np.log2(np.maximum(gamma[good], 1e-30))
+        p = (count - taken) / total[group] + gamma[group] * shorter
+        before = own, p, p if n <= LOW else low
+        out[n] = [own, *(np.log2(np.maximum(x, 1e-30)) for x in before[1:]), np.zeros(len(own))]
+    _, logp, low, _ = out[ORDER]
+    return out, tuple(-float(levels[ORDER][1] @ x) / float(levels[ORDER][1].sum()) for x in (logp, low))
+
+
+class Sorted:
+    """A sorted array of hashes with arrays beside it; an index by the hash's first bits finds where to look."""
+
+    def __init__(self, code, logp, low, bow):
+        key = mix(code.astype(U))  # one to one, so no two n-grams meet
+        order = np.argsort(key)
+        self.key, self.logp, self.low, self.bow = key[order], logp[order].astype(np.float32), low[order].astype(np.float32), bow[order].astype(np.float32)
+        self.shift = 64 - max(1, int(2 * len(key)).bit_length())
+        self.first = np.searchsorted(self.key >> U(self.shift), np.arange((1 << (64 - self.shift)) + 1).astype(U)).astype(np.int32)
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """Places of n-grams, -1 where they are absent."""
+        want = mix(code)
+        at = self.first[(want >> U(self.shift)).astype(np.int64)]
+        if not len(self.key):
+            return np.full(len(code), -1)
+        last = len(self.key) - 1
+        left = np.flatnonzero(self.key[np.minimum(at, last)] < want)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] <= last]
+            left = left[self.key[at[left]] < want[left]]
+        at = np.minimum(at, last)
+        return np.where(self.key[at] == want, at, -1)
 
 
 class Scorer:
-    """Bits a byte of documents by language; the log-probabilities are laid out once a task."""
-
-    def __init__(self, model: dict):
-        self.model, self.tables = model, {}
-
-    def bits(self, lang, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log2 of the perplexity; 0 for empty documents."""
-        total = self._running(lang, trigrams(data, off))
-        return (total[off[1:]] - total[off[:-1]]) / np.maximum(np.diff(off), 1)
-
-    def _running(self, lang, code: np.ndarray) -> np.ndarray:
-        if lang not in self.tables:
-            empty = (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            self.tables[lang] = kneser_ney(*self.model.get(lang, empty))
-        total = np.zeros(len(code) + 1)
-        np.cumsum(self.tables[lang][code], dtype=np.float64, out=total[1:])
-        return -total
-
-    def least(self, data: np.ndarray, off: np.ndarray, centre: dict) -> tuple[np.ndarray, np.ndarray]:
-        """As bits, with every word (and the blanks behind it) in the language that prices it least, and those languages' mean median."""
+    """Log-probabilities by language; ``bits`` has each language's average at both orders."""
+
+    def __init__(self, tables: dict[str, dict[int, Sorted]], bits: dict[str, tuple[float, float]]):
+        self.tables, self.bits = tables, bits
+
+    def prices(self, own: str, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each n-gram's last byte at order ORDER and at order LOW, with back-off for n-grams that the language lacks."""
+        tables = self.tables.get(own, {})
+        if ORDER in tables and (at := tables[ORDER].find(code)).min(initial=0) >= 0:
+            return -tables[ORDER].logp[at], -tables[ORDER].low[at]
+        out, spent, left = np.zeros((2, len(code))), np.zeros((2, len(code))), np.arange(len(code))
+        for n in range(ORDER, 0, -1):
+            if n not in tables or not len(left):
+                continue
+            own_code = code[left] & U((1 << 8 * n) - 1)
+            at = tables[n].find(own_code)
+            hit = at >= 0
+            done, place = left[hit], at[hit]
+            out[0, done], out[1, done] = spent[0, done] - tables[n].logp[place], spent[1, done] - tables[n].low[place]
+            left = left[~hit]
+            if n > 1 and n - 1 in tables and len(left):
+                at = tables[n - 1].find(own_code[~hit] >> U(8))
+                weight = np.where(at >= 0, tables[n - 1].bow[at], 0.0)
+                spent[0, left] -= weight
+                if n <= LOW:
+                    spent[1, left] -= weight
+        out[:, left] = spent[:, left] + 8.0  # a byte that the language lacks
+        return out[0], out[1]
+
+    def total(self, own: str, data: np.ndarray, off: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Bits at both orders between edges (ascending places in the data)."""
+        out = np.zeros((2, len(edges)))
+        so_far = np.zeros(2)
+        for a in range(0, len(data), BLOCK):
+            b = min(a + BLOCK, len(data))
+            inside = np.flatnonzero((edges > a) & (edges <= b))
+            for k, price in enumerate(self.prices(own, grams(data, off, a, b))):
+                sums = np.cumsum(price, dtype=np.float64)
+                out[k, inside] = so_far[k] + sums[edges[inside] - a - 1]
+                so_far[k] += sums[-1]
+        return np.diff(out, axis=1) if len(edges) else out
+
+    def scores(self, own: str, data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+        """Of each document: bits a byte, high, low; and of one that is off, the other language that fits it best, with its scores."""
+        size = np.diff(off)
+        bits = self.total(own, data, off, off) / np.maximum(size, 1)
+        score = np.where(size > 0, bits - np.array(self.bits.get(own, (8.0, 8.0)))[:, None], 0)
+        out = {"bits": bits[0], "high": score[0], "low": score[1], "other": np.full(len(size), None, object), "other_high": np.zeros(len(size)), "other_low": np.zeros(len(size))}
+        far = np.flatnonzero((np.abs(score) > FAR).any(axis=0))
+        ends = np.concatenate([[0], np.cumsum(size[far])])
+        for a, b in blocks(ends, BLOCK):
+            here = far[a:b]
+            bad = (score[:, here] > FAR).any(axis=0)
+            for k, found in self._elsewhere(own, gather(data, off[here], size[here]), ends[a : b + 1] - ends[a]).items():
+                out[k][here] = np.where(bad, found, out[k][here]) if k in ("bits", "high", "low") else found
+        return out
+
+    def _elsewhere(self, own: str, data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+        """The same of documents that are not empty, with every RUN words in the language that prices them least at each order."""
         start, _, word_off = words(data, off)
-        first = word_off[:-1][word_off[1:] > word_off[:-1]]
-        start[first] = off[:-1][word_off[1:] > word_off[:-1]]  # blanks ahead of a document's first word are its own
-        end = np.append(start[1:], len(data))
-        owner = np.searchsorted(word_off, np.arange(len(start)), "right") - 1
-        end = np.minimum(end, off[owner + 1])
-        code, price, middle = trigrams(data, off), np.full(len(start), np.inf), np.zeros(len(start))
-        for lang, (own, _) in centre.items():
-            total = self._running(lang, code)
-            here = total[end] - total[start]
-            middle = np.where(here < price, own, middle)
-            price = np.minimum(price, here)
-        total = np.zeros((2, len(start) + 1))
-        np.cumsum([price, middle * (end - start)], axis=1, out=total[:, 1:])
-        return tuple((total[:, word_off[1:]] - total[:, word_off[:-1]]) / np.maximum(np.diff(off), 1))
-
-
-def score_batch(scorer: Scorer, langs, texts) -> np.ndarray:
-    out = np.zeros(len(texts))
-    for lang in pc.unique(langs).to_pylist():
-        rows = pc.is_null(langs) if lang is None else pc.equal(langs, pa.scalar(lang))
-        at = np.flatnonzero(np.asarray(pc.fill_null(rows, False).to_numpy(zero_copy_only=False)))
-        data, off = utf8(texts.take(pa.array(at)))
-        for a, b in blocks(off, BLOCK):
-            out[at[a:b]] = scorer.bits(lang, data[off[a] : off[b]], off[a : b + 1] - off[a])
+        number = np.arange(len(start)) - np.repeat(word_off[:-1], np.diff(word_off))
+        edges = np.unique(np.concatenate([off, start[(number > 0) & (number % RUN == 0)]]))
+        names = sorted(self.bits)
+        usual = np.array([self.bits[name] for name in names])
+        price = np.stack([self.total(name, data, off, edges) for name in names])
+        doc, size = np.searchsorted(off, edges[:-1], "right") - 1, np.diff(off)
+        a_byte = lambda x: np.bincount(doc, x, len(size)) / size
+        out = {}
+        for k, name in enumerate(("high", "low")):
+            best = price[:, k].argmin(axis=0)
+            paid = price[best, k, np.arange(len(best))]
+            out[name] = np.maximum(0, a_byte(paid - usual[best, k] * np.diff(edges)))
+            if not k:
+                out["bits"] = a_byte(paid)
+        whole = np.array([[a_byte(x) for x in pair] for pair in price]) - usual[:, :, None]
+        worst = np.abs(whole).max(axis=1)
+        if own in names:
+            worst[names.index(own)] = np.inf
+        fit = worst.argmin(axis=0)
+        each = np.arange(len(size))
+        out["other"] = np.where(np.isfinite(worst[fit, each]), np.array(names, object)[fit], None)
+        return out | {"other_high": whole[fit, 0, each], "other_low": whole[fit, 1, each]}
+
+
+def _grouped(rows: pa.Table, by: str):
+    """(own, the value of ``by``, rows as arrays) of each group of a table."""
+    owns = rows["own"].combine_chunks().dictionary_encode()
+    owns = owns.combine_chunks() if isinstance(owns, pa.ChunkedArray) else owns
+    kind = rows[by].to_numpy() if by else np.zeros(rows.num_rows, np.int64)
+    group = owns.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (ORDER + 1) + kind
+    sort = np.argsort(group)
+    columns = {c: rows[c].to_numpy()[sort] for c in rows.column_names if c != "own"}
+    edge = np.flatnonzero(np.diff(group[sort], prepend=-1))
+    for a, b in zip(edge, [*edge[1:], len(sort)]):
+        k, n = divmod(int(group[sort[a]]), ORDER + 1)
+        yield owns.dictionary[k].as_py(), n, {c: x[a:b] for c, x in columns.items()}
+
+
+def tables_of(rows: pa.Table) -> dict[str, dict[int, Sorted]]:
+    """Arrays of a model's rows."""
+    out: dict[str, dict[int, Sorted]] = {}
+    for own, n, at in _grouped(rows, "order"):
+        out.setdefault(own, {})[n] = Sorted(at["code"], at["logp"], at["low"], at["bow"])
     return out
 
 
-def apart_batch(scorer: Scorer, langs, texts, centre: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of each document, by the least of all languages where its own is off, and the deviations from the median."""
-    bits = score_batch(scorer, langs, texts)
-    middle, deviation = (np.array([centre.get(x, (0, np.inf))[i] for x in langs.to_pylist()], float) for i in (0, 1))
-    far = np.flatnonzero(np.abs(bits * BINS - middle) > NEAR * deviation)
-    data, off = utf8(texts.take(pa.array(far)))
-    for a, b in blocks(off, BLOCK):
-        bits[far[a:b]], middle[far[a:b]] = scorer.least(data[off[a] : off[b]], off[a : b + 1] - off[a], centre)
-    return bits, (bits * BINS - middle) / deviation
-
-
-def word_counts(texts) -> np.ndarray:
-    data, off = utf8(texts)
-    return np.concatenate([np.zeros(0, np.int64), *[np.diff(words(data[off[a] : off[b]], off[a : b + 1] - off[a])[2]) for a, b in blocks(off, BLOCK)]])
+def average_bits(model: DataFrame) -> dict[str, tuple[float, float]]:
+    """Each language's bits a byte at both orders over all its documents; a row a language reaches the driver."""
+    top = model.where(F.col("order") == ORDER).groupBy("own").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("logp")).alias("p"), F.sum(F.col("c") * F.col("low")).alias("q"))
+    return {r["own"]: (-r["p"] / r["n"], -r["q"] / r["n"]) for r in top.collect()}
 
 
 def per_doc(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -232,12 +391,10 @@ def measures(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     np.cumsum(ink, out=inked[1:])
     worded = (line_end > line_start) & (inked[np.maximum(line_end, line_start)] > inked[line_start])
     owner = owner[worded]
-    key = span_hash(data, line_start[worded], line_end[worded])
-    again = repeats(key, owner)
+    again = repeats(span_hash(data, line_start[worded], line_end[worded]), owner)
     out["n_dup_lines"] = np.bincount(owner[again == 2], minlength=docs).astype(np.int64)
     window = rolling(span_hash(data, start, end), WINDOW)
-    whole = window_mask(word_off, WINDOW)[: len(window)]
-    at = np.flatnonzero(whole)
+    at = np.flatnonzero(window_mask(word_off, WINDOW)[: len(window)])
     hit = np.zeros(len(start), bool)
     hit[at] = repeats(window[at], np.searchsorted(word_off, at, "right") - 1) > 0
     out["n_repeat_words"] = per_doc(covered(hit, WINDOW), word_off)
@@ -246,98 +403,171 @@ def measures(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 def repeats(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each key: 0 alone in its document, 1 the first of several, 2 a later one."""
-    mixed = mix(key + owner.astype(U) * U(0x9E3779B97F4A7C15))
-    order = np.argsort(mixed, kind="stable")
-    same = mixed[order][1:] == mixed[order][:-1]
     out = np.zeros(len(key), np.int8)
+    if not len(key):
+        return out
+    order = np.lexsort((key, owner))
+    same = (key[order][1:] == key[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     first, later = np.append(same, False), np.insert(same, 0, False)
     out[order[first & ~later]] = 1
     out[order[later]] = 2
-    return out if len(key) else np.zeros(0, np.int8)
-
+    return out
 
-def centres(docs: DataFrame, model: dict) -> dict:
-    """(median, median deviation) per language in bins of log2 perplexity, from all documents of MIN_WORDS words or more."""
 
-    def run(batches):
-        scorer, total = Scorer(model), {}
-        for batch in batches:
-            bins = np.rint(score_batch(scorer, batch.column(0), batch.column(1)) * BINS).astype(np.int64)
-            enough = word_counts(batch.column(1)) >= MIN_WORDS
-            for lang, b, ok in zip(batch.column(0).to_pylist(), bins.tolist(), enough.tolist()):
-                if ok:
-                    total[lang, b] = total.get((lang, b), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "bin", "n"])
-
-    rows = docs.select("lang", "text").mapInArrow(worker(run), "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    out = {}
-    for lang in {r["lang"] for r in rows}:
-        at, n = (np.array(x) for x in zip(*sorted((r["bin"], r["n"]) for r in rows if r["lang"] == lang)))
-        middle = at[np.searchsorted(np.cumsum(n), n.sum() / 2)]
-        away = np.abs(at - middle)
-        order = np.argsort(away, kind="stable")
-        deviation = max(LEAST_DEVIATION, away[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
-        out[lang] = (int(middle), int(deviation))
+def _scored(batch, lang_at: int, text_at: int, carried: list[int], scorer: Scorer) -> pa.RecordBatch:
+    """row (the carried columns), own, other, measures, perplexity and scores in steps."""
+    langs, texts = (batch.column(i).cast(pa.string()) for i in (lang_at, text_at))
+    data, off = utf8(texts)
+    parts = [measures(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in blocks(off, BLOCK)]
+    found = [np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]).astype(np.int64) for k in MEASURES]
+    found_at = {"bits": np.zeros(batch.num_rows), **{k: np.zeros(batch.num_rows) for k in SCORES}, "own": np.full(batch.num_rows, "", object), "other": np.full(batch.num_rows, None, object)}
+    for own, at in _languages(langs):
+        found_at["own"][at] = own
+        for k, values in scorer.scores(own, *utf8(texts.take(pa.array(at)))).items():
+            found_at[k][at] = values
+    steps = [pa.array(np.rint(found_at[k] * BINS).astype(np.int64)) for k in SCORES]
+    names = [pa.array(found_at[k], pa.string()) for k in ("own", "other")]
+    row = pa.StructArray.from_arrays([batch.column(i) for i in carried], fields=[batch.schema.field(i) for i in carried])
+    return pa.RecordBatch.from_arrays([row, *names, *map(pa.array, found), pa.array(np.exp2(found_at["bits"])), *steps], ["row", "own", "other", *MEASURES, "perplexity", *SCORES])
+
+
+def scored(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (all, if not given) in ``row`` (a struct), own, other, measures, perplexity, and the scores in steps.  A durable table."""
+    plain = docs.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
+    top = durable(count_grams(plain), "grams")
+    lang_at, text_at = docs.columns.index(lang_column), docs.columns.index(text_column)
+    carried = [docs.columns.index(c) for c in columns or docs.columns]
+    fields = [("row", T.StructType([docs.schema.fields[i] for i in carried])), ("own", T.StringType()), ("other", T.StringType()), *[(k, T.LongType()) for k in MEASURES], ("perplexity", T.DoubleType()), *[(k, T.LongType()) for k in SCORES]]
+    schema = T.StructType([T.StructField(k, t) for k, t in fields])
+    if top.count() <= BROADCAST_GRAMS:
+        tables, usual = {}, {}
+        for own, _, at in _grouped(top.toArrow(), ""):
+            levels, usual[own] = kneser_ney(at["code"], at["c"])
+            tables[own] = {n: Sorted(*level) for n, level in levels.items()}
+        shared = docs.sparkSession.sparkContext.broadcast(tables)
+
+        def run(batches):
+            scorer = Scorer(shared.value, usual)
+            for batch in batches:
+                yield _scored(batch, lang_at, text_at, carried, scorer)
+
+        out = durable(arrow(docs, run, schema), "scored")
+        shared.destroy()
+    else:
+        model = trained(top)
+        rows = model.select("own", "order", "code", "logp", "low", "bow")
+        out = durable(_joined(docs, rows, average_bits(model), lang_at, text_at, carried, schema), "scored")
+        forget(model)
+    forget(top)
     return out
 
 
-def widths(docs: DataFrame, model: dict, centre: dict, labels: DataFrame, label_id: str = "doc_id") -> tuple[float, float] | None:
-    """Deviations (lower, upper) that hold GOOD_SHARE of the documents (columns id, lang, text) labelled good; None if they are too few."""
+def _joined(docs: DataFrame, rows: DataFrame, usual: dict, lang_at: int, text_at: int, carried: list[int], schema) -> DataFrame:
+    """The same for any size of the model: a chunk of texts gets the rows of its own n-grams."""
 
-    def run(batches):
-        scorer = Scorer(model)
+    def cut(batches):
+        from pyspark import TaskContext
+
+        task, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            _, off = utf8(batch.column(text_at).cast(pa.string()))
+            for a, b in blocks(off, CHUNK):
+                part = batch.slice(a, b - a)
+                row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | seq] * len(row), pa.int64()), row], ["chunk", "row"])
+                seq += 1
+
+    held = durable(arrow(docs, cut, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("row", docs.schema)])), "held")
+
+    def needed(batches):
         for batch in batches:
-            _, away = apart_batch(scorer, batch.column(1), batch.column(2), centre)
-            own = pa.array(word_counts(batch.column(2)) >= MIN_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), pa.array(np.rint(away * STEPS).astype(np.int64)).filter(own)], ["id", "away"])
+            data, off = utf8(batch.column(1).cast(pa.string()))
+            chunk = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.diff(chunk, prepend=-1))
+            for a, b in zip(edge, [*edge[1:], len(chunk)]):
+                codes = np.unique(grams(data[off[a] : off[b]], off[a : b + 1] - off[a], 0, int(off[b] - off[a]))) if off[b] > off[a] else np.zeros(0, U)
+                for n in range(ORDER, 0, -1):
+                    codes = np.unique(codes & U((1 << 8 * n) - 1))
+                    here = codes if n == ORDER else np.unique(np.concatenate([codes, contexts]))
+                    contexts = np.unique(here >> U(8))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk[a]] * len(here), pa.int64()), pa.array([n] * len(here), pa.int32()), pa.array(here.astype(np.int64))], ["chunk", "order", "code"])
 
-    good = labels.where("quality = 1").select(F.col(label_id).alias("id")).distinct()
-    at = docs.select("id", "lang", "text").mapInArrow(worker(run), f"id {docs.schema['id'].dataType.simpleString()}, away bigint")
-    rows = sorted(tuple(r) for r in at.join(good, "id").groupBy("away").agg(F.count("*")).collect())
-    if sum(n for _, n in rows) < LEAST_GOOD:
-        return None
-    at, upto = np.array([r[0] for r in rows]), np.cumsum([r[1] for r in rows])
-    out = int(upto[-1] * (1 - GOOD_SHARE) / 2)  # documents beyond either end
-    low, high = at[np.searchsorted(upto, out, "right")], at[np.searchsorted(upto, upto[-1] - out)]
-    return max(0.0, (0.5 - low) / STEPS), max(0.0, (high + 0.5) / STEPS)
+    text = held.select("chunk", F.col("row").getField(docs.columns[text_at]).cast("string").alias("text"))
+    own = arrow(text, needed, "chunk bigint, order int, code bigint").distinct().join(rows, ["order", "code"])
 
+    def score(docs_of, grams_of):
+        scorer = Scorer(tables_of(grams_of) if grams_of.num_rows else {}, usual)
+        for batch in docs_of.select(["row"]).to_batches():
+            column = batch.column(0)
+            plain = pa.RecordBatch.from_arrays([pc.struct_field(column, [i]) for i in range(column.type.num_fields)], [f.name for f in column.type])
+            yield _scored(plain, lang_at, text_at, carried, scorer)
 
-def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_column: str = "text", lang_column: str = "lang", labels: DataFrame | None = None, id_column: str = "doc_id", label_id: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` in ``row`` (a struct), with measures, base_failed, perplexity and kept.
+    def whole(docs_of, grams_of):
+        return pa.Table.from_batches(list(score(docs_of, grams_of)))
+
+    return held.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(whole, schema)
+
+
+def bands(found: DataFrame, lower: float, upper: float, good: DataFrame | None) -> DataFrame:
+    """own, and for each score the middle and the least and greatest steps of its band; a row a language.
+
+    ``good`` has the own, high and low of the documents labelled good.
+    """
+    at = found.where(F.col("n_words") >= MIN_WORDS)
+    both = ("high", "low")
+    middle = at.groupBy("own").agg(*[F.percentile(k, F.lit(0.5)).alias(f"{k}_mid") for k in both])
+    apart = at.join(middle, "own").groupBy("own", *[f"{k}_mid" for k in both])
+    out = apart.agg(*[F.greatest(F.lit(float(LEAST_DEVIATION)), F.percentile(F.abs(F.col(k) - F.col(f"{k}_mid")), F.lit(0.5))).alias(f"{k}_dev") for k in both])
+    width = {(k, side): F.lit(float(w)) for k in both for side, w in (("down", lower), ("up", upper))}
+    if good is not None:
+        tail = (1 - GOOD_SHARE) / 2
+        away = good.join(out, "own").select("own", *[((F.col(k) - F.col(f"{k}_mid")) / F.col(f"{k}_dev")).alias(k) for k in both])
+
+        def tails(prefix):
+            ends = [(-F.percentile(k, F.lit(tail))).alias(f"{prefix}{k}_down") for k in both] + [F.percentile(k, F.lit(1 - tail)).alias(f"{prefix}{k}_up") for k in both]
+            return [F.count(F.lit(1)).alias(f"{prefix}n"), *ends]
+
+        every = away.agg(*tails("")).first()
+        out = out.join(away.groupBy("own").agg(*tails("own_")), "own", "left")
+        for k, side in width:
+            if every["n"] >= LEAST_GOOD:
+                width[k, side] = F.lit(max(LEAST_WIDTH, every[f"{k}_{side}"]))
+            width[k, side] = F.when(F.col("own_n") >= LEAST_GOOD, F.greatest(F.lit(LEAST_WIDTH), F.col(f"own_{k}_{side}"))).otherwise(width[k, side])
+    ends = []
+    for k in both:
+        ends += [(F.col(f"{k}_mid") - width[k, "down"] * F.col(f"{k}_dev")).alias(f"{k}_least"), (F.col(f"{k}_mid") + width[k, "up"] * F.col(f"{k}_dev")).alias(f"{k}_most")]
+    return out.select(F.col("own").alias("band"), *ends)
+
+
+def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_column: str = "text", lang_column: str = "lang", labels: DataFrame | None = None, id_column: str = "doc_id", label_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all, if not given) in ``row`` (a struct), with measures, base_failed, perplexity and kept.
 
     ``labels`` (``label_id``, quality 0 or 1), where given and enough, take the place of ``lower`` and ``upper``.
     """
-    plain = docs.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
-    model = train(plain)
-    centre = centres(plain, model)
+    found = scored(docs, text_column, lang_column, columns)
+    good = None
     if labels is not None:
-        named = docs.select(F.col(id_column).alias("id"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
-        lower, upper = widths(named, model, centre, labels, label_id) or (lower, upper)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    lang_at, text_at = docs.columns.index(lang_column), docs.columns.index(text_column)
+        listed = labels.where("quality = 1").select(F.col(label_id).alias("label_id")).distinct()
+        named = found.where(F.col("n_words") >= MIN_WORDS).select(F.col("row").getField(id_column).alias("label_id"), "own", "high", "low")
+        good = named.join(listed, "label_id")
+    band = durable(bands(found, lower, upper, good), "bands")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
-    def run(batches):
-        scorer = Scorer(model)
-        for batch in batches:
-            langs, texts = (batch.column(i).cast(pa.string()) for i in (lang_at, text_at))
-            data, off = utf8(texts)
-            parts = [measures(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in blocks(off, BLOCK)]
-            found = {k: np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]).astype(np.int64) for k in names}
-            bits, away = apart_batch(scorer, langs, texts, centre)
-            failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT * found["n_words"])
-            inside = (away >= -lower) & (away <= upper)
-            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
-            yield pa.RecordBatch.from_arrays([row, *[pa.array(found[k]) for k in names], pa.array(failed), pa.array(np.exp2(bits)), pa.array(~failed & inside)], ["row", *names, "base_failed", "perplexity", "kept"])
+    def within(prefix):
+        return reduce(and_, [F.col(prefix + k).between(F.col(f"{prefix}{k}_least"), F.col(f"{prefix}{k}_most")) for k in ("high", "low")])
 
-    fields = [("row", docs.schema), *[(k, T.LongType()) for k in names], ("base_failed", T.BooleanType()), ("perplexity", T.DoubleType()), ("kept", T.BooleanType())]
-    return docs.mapInArrow(worker(run), T.StructType([T.StructField(k, t) for k, t in fields]))
+    ends = [c for c in band.columns if c != "band"]
+    elsewhere = band.select(F.col("band").alias("other_band"), *[F.col(c).alias("other_" + c) for c in ends])
+    out = found.join(band, F.col("own") == F.col("band"), "left").join(elsewhere, F.col("other") == F.col("other_band"), "left").withColumn("base_failed", failed)
+    fits = F.coalesce(within(""), F.lit(True)) | F.coalesce(within("other_"), F.lit(False))
+    return out.select("row", *MEASURES, "base_failed", "perplexity", (~F.col("base_failed") & fits).alias("kept"))
 
 
 def verdicts(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", labels: DataFrame | None = None) -> DataFrame:
     """id, n_words, the four measures, base_failed, perplexity, kept."""
     slim = docs.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    out = judged(slim, lower, upper, labels=labels, id_column="id", label_id=id_column)
-    return out.select(F.col("row.id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "perplexity", "kept")
+    out = judged(slim, lower, upper, labels=labels, id_column="id", label_id=id_column, columns=["id"])
+    return out.select(F.col("row.id").alias(id_column), *MEASURES, "base_failed", "perplexity", "kept")
 
 
 def keep(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_column: str = "text", lang_column: str = "lang", labels: DataFrame | None = None, id_column: str = "doc_id") -> DataFrame:
