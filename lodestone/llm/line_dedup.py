@@ -2,7 +2,8 @@
 
 A HyperLogLog sketch of the sites on which a line occurs merges by aggregation
 on the line's 128-bit hash, so a line on a third of all pages is combined on the
-map side.  Lines whose estimate is clear of the threshold are decided by it;
+map side.  Lists of such lines are broadcast while they are short, else joined with
+salt, so that no line's rows gather in one task.  Lines whose estimate is clear of the threshold are decided by it;
 those within a factor ``BAND`` of it get an exact distinct count.  Lines on at
 least ``min_sites`` sites are removed from all documents but the first that has
 them (the least id), so that no content vanishes altogether.
@@ -18,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty
+from ._common import durable, forget, small, text_or_empty
 
 MIN_SITES, BAND, PRECISION = 10, 2.0, 10
+#: Lines up to which a list is broadcast (three numbers each), and parts of a line's rows beyond.
+BROADCAST_LINES, SALT = 100_000, 32
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -34,22 +37,33 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return parts.select("id", "t1", "t2", "site", "pos", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(1), "line").alias("l2"))
 
 
+def _among(lines: DataFrame, listed: DataFrame) -> DataFrame:
+    """The lines that are listed.  A short list is broadcast; else lines are salted by id, as one line may hold a third of all rows."""
+    if small(listed, BROADCAST_LINES):
+        return lines.join(F.broadcast(listed), ["l1", "l2"])
+    salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return lines.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALT))).join(salted, ["l1", "l2", "salt"]).drop("salt")
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """l1, l2, first: lines on at least ``min_sites`` sites and the least id that has them."""
+    """l1, l2, first: lines on at least ``min_sites`` sites and the least id that has them.  A durable table."""
     sketched = lines.groupBy("l1", "l2").agg(F.hll_sketch_agg("site", F.lit(PRECISION)).alias("sketch"), F.min("id").alias("first"))
     spread = sketched.select("l1", "l2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites / BAND)
+    spread = durable(spread, "spread")
     clear = spread.where(F.col("sites") > min_sites * BAND).select("l1", "l2", "first")
     near = spread.where(F.col("sites") <= min_sites * BAND).select("l1", "l2", "first")
-    counted = lines.join(near, ["l1", "l2"]).groupBy("l1", "l2", "first", "site").agg(F.lit(1).alias("one"))
+    counted = _among(lines, near).groupBy("l1", "l2", "first", "site").agg(F.lit(1).alias("one"))
     exact = counted.groupBy("l1", "l2", "first").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
-    return clear.unionByName(exact.select("l1", "l2", "first"))
+    out = durable(clear.unionByName(exact.select("l1", "l2", "first")), "boilerplate")
+    forget(spread)
+    return out
 
 
 def _dropped(docs: DataFrame, min_sites: int, id_column: str, text_column: str, site_column: str) -> DataFrame:
     """id, t1, t2, drop: positions of the lines to remove, for documents that have any."""
     lines = _lines(_keyed(docs, id_column, text_column, site_column))
     found = boilerplate(lines.select("id", "site", "l1", "l2"), min_sites)
-    hit = lines.select("id", "t1", "t2", "pos", "l1", "l2").join(found, ["l1", "l2"]).where(~F.col("id").eqNullSafe(F.col("first")))
+    hit = _among(lines.select("id", "t1", "t2", "pos", "l1", "l2"), found).where(~F.col("id").eqNullSafe(F.col("first")))
     return hit.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("drop"))
 
 

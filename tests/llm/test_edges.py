@@ -274,7 +274,9 @@ def test_guess_bits_price_the_cheapest_reading():
         assert bits(v) <= sum(map(secret_scan.char_bits, v)) + secret_scan.SPAN_BITS + 1e-9
 
 
-def test_line_dedup(docs):
+@pytest.mark.parametrize("listed", [100_000, 0])
+def test_line_dedup(docs, monkeypatch, listed):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", listed)
     given = plain(docs)
     sites, first = defaultdict(set), {}
     for doc, t, site in given:
