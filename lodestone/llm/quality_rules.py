@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import U, blocks, covered, gather, mix, rolling, span_hash, utf8, window_mask, words
-from ._common import arrow, durable, forget
+from ._common import arrow, durable, forget, small
 
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
@@ -61,6 +61,8 @@ BINS, LEAST_DEVIATION = 256, 4
 #: Bits a byte off its language's average from which on other languages price a text, and words that are priced together.
 FAR, RUN = 0.1, 1
 BLOCK = 1 << 19
+#: Languages up to which their bands are broadcast (four numbers each).
+BROADCAST_BANDS = 10_000
 #: Bytes of text in a chunk where the model is joined.
 CHUNK = 1 << 20
 SCORES = ["high", "low", "other_high", "other_low"]
@@ -508,35 +510,41 @@ def _joined(docs: DataFrame, rows: DataFrame, usual: dict, lang_at: int, text_at
     return held.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(whole, schema)
 
 
+def _histogram(rows: DataFrame) -> DataFrame:
+    """own, kind (high or low), at, n: documents by score, combined on the map side."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("at")) for k in ("high", "low")])
+    return rows.select("own", F.explode(pairs).alias("p")).select("own", "p.kind", "p.at").groupBy("own", "kind", "at").agg(F.count(F.lit(1)).alias("n"))
+
+
 def bands(found: DataFrame, lower: float, upper: float, good: DataFrame | None) -> DataFrame:
-    """own, and for each score the middle and the least and greatest steps of its band; a row a language.
+    """own, and for each score the least and greatest steps of its band; a row a language.
 
     ``good`` has the own, high and low of the documents labelled good.
     """
-    at = found.where(F.col("n_words") >= MIN_WORDS)
-    both = ("high", "low")
-    middle = at.groupBy("own").agg(*[F.percentile(k, F.lit(0.5)).alias(f"{k}_mid") for k in both])
-    apart = at.join(middle, "own").groupBy("own", *[f"{k}_mid" for k in both])
-    out = apart.agg(*[F.greatest(F.lit(float(LEAST_DEVIATION)), F.percentile(F.abs(F.col(k) - F.col(f"{k}_mid")), F.lit(0.5))).alias(f"{k}_dev") for k in both])
-    width = {(k, side): F.lit(float(w)) for k in both for side, w in (("down", lower), ("up", upper))}
+    counts = durable(_histogram(found.where(F.col("n_words") >= MIN_WORDS)), "counts")
+    middle = counts.groupBy("own", "kind").agg(F.percentile("at", F.lit(0.5), F.col("n")).alias("mid"))
+    apart = counts.join(middle, ["own", "kind"]).groupBy("own", "kind", "mid")
+    out = apart.agg(F.greatest(F.lit(float(LEAST_DEVIATION)), F.percentile(F.abs(F.col("at") - F.col("mid")), F.lit(0.5), F.col("n"))).alias("dev"))
+    down, up = F.lit(float(lower)), F.lit(float(upper))
     if good is not None:
         tail = (1 - GOOD_SHARE) / 2
-        away = good.join(out, "own").select("own", *[((F.col(k) - F.col(f"{k}_mid")) / F.col(f"{k}_dev")).alias(k) for k in both])
+        away = _histogram(good).join(out, ["own", "kind"]).select("own", "kind", "n", ((F.col("at") - F.col("mid")) / F.col("dev")).alias("away"))
 
         def tails(prefix):
-            ends = [(-F.percentile(k, F.lit(tail))).alias(f"{prefix}{k}_down") for k in both] + [F.percentile(k, F.lit(1 - tail)).alias(f"{prefix}{k}_up") for k in both]
-            return [F.count(F.lit(1)).alias(f"{prefix}n"), *ends]
+            ends = [(-F.percentile("away", F.lit(tail), F.col("n"))).alias(prefix + "down"), F.percentile("away", F.lit(1 - tail), F.col("n")).alias(prefix + "up")]
+            return [F.sum("n").alias(prefix + "n"), *ends]
+
+        out = out.join(away.groupBy("own", "kind").agg(*tails("own_")), ["own", "kind"], "left").join(away.groupBy("kind").agg(*tails("all_")), "kind", "left")
+
+        def width(side, given):
+            for p in ("all_", "own_"):
+                given = F.when(F.col(p + "n") >= LEAST_GOOD, F.greatest(F.lit(LEAST_WIDTH), F.col(p + side))).otherwise(given)
+            return given
 
-        every = away.agg(*tails("")).first()
-        out = out.join(away.groupBy("own").agg(*tails("own_")), "own", "left")
-        for k, side in width:
-            if every["n"] >= LEAST_GOOD:
-                width[k, side] = F.lit(max(LEAST_WIDTH, every[f"{k}_{side}"]))
-            width[k, side] = F.when(F.col("own_n") >= LEAST_GOOD, F.greatest(F.lit(LEAST_WIDTH), F.col(f"own_{k}_{side}"))).otherwise(width[k, side])
-    ends = []
-    for k in both:
-        ends += [(F.col(f"{k}_mid") - width[k, "down"] * F.col(f"{k}_dev")).alias(f"{k}_least"), (F.col(f"{k}_mid") + width[k, "up"] * F.col(f"{k}_dev")).alias(f"{k}_most")]
-    return out.select(F.col("own").alias("band"), *ends)
+        down, up = width("down", down), width("up", up)
+    ends = out.select("own", "kind", (F.col("mid") - down * F.col("dev")).alias("least"), (F.col("mid") + up * F.col("dev")).alias("most"))
+    one = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}")
+    return ends.groupBy(F.col("own").alias("band")).agg(*[one(k, c) for k in ("high", "low") for c in ("least", "most")])
 
 
 def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_column: str = "text", lang_column: str = "lang", labels: DataFrame | None = None, id_column: str = "doc_id", label_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
@@ -558,6 +566,8 @@ def judged(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, text_col
 
     ends = [c for c in band.columns if c != "band"]
     elsewhere = band.select(F.col("band").alias("other_band"), *[F.col(c).alias("other_" + c) for c in ends])
+    if small(band, BROADCAST_BANDS):
+        band, elsewhere = F.broadcast(band), F.broadcast(elsewhere)
     out = found.join(band, F.col("own") == F.col("band"), "left").join(elsewhere, F.col("other") == F.col("other_band"), "left").withColumn("base_failed", failed)
     fits = F.coalesce(within(""), F.lit(True)) | F.coalesce(within("other_"), F.lit(False))
     return out.select("row", *MEASURES, "base_failed", "perplexity", (~F.col("base_failed") & fits).alias("kept"))
