@@ -39,7 +39,7 @@ def literal_number(value: str) -> float | None:
 def glob_regex(pattern: str) -> str:
     """Whole-string regular expression of a glob with ``*`` and ``?``."""
     parts = {"*": ".*", "?": "."}
-    return "^(?:" + "".join(parts.get(c) or (c if c.isalnum() or c in "_ " or ord(c) > 127 else "\\" + c) for c in pattern) + ")$"
+    return r"\A(?:" + "".join(parts.get(c) or (c if c.isalnum() or c in "_ " or ord(c) > 127 else "\\" + c) for c in pattern) + r")\z"
 
 
 def glob(column: Column, pattern: str) -> Column:
@@ -52,8 +52,7 @@ def glob(column: Column, pattern: str) -> Column:
     start = re.match(r"[^*?]*", pattern)[0]
     if start == pattern:
         return column.startswith(pattern)
-    # the expression's $ would let a final line feed through
-    whole = column.rlike(glob_regex(pattern)) & ~column.endswith("\n") if pattern[-1] != "\n" else column.rlike(glob_regex(pattern))
+    whole = column.rlike(glob_regex(pattern))
     return column.startswith(start) & whole if start else whole
 
 
@@ -102,4 +101,4 @@ def matches_any(column: Column, patterns: list[str]) -> Column:
     """Whole match of any regular expression; no patterns let everything through."""
     if not patterns:
         return F.lit(True)
-    return reduce(lambda a, b: a | b, [column.rlike(f"^(?:{p})$") for p in patterns])
+    return reduce(lambda a, b: a | b, [column.rlike(rf"\A(?:{p})\z") for p in patterns])

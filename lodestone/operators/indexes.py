@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,13 @@ class Secondary:
     def prefix(self, prefix: str) -> DataFrame:
         return self.rows.where(F.col("value").startswith(prefix)).orderBy("value", "key")
 
+    def updated(self, changes: DataFrame) -> Secondary:
+        """The index after writes: ``changes`` has value and key; a null value takes the key's entry away."""
+        out = copy(self)
+        kept = self.rows.join(changes.select("key").distinct(), "key", "left_anti")
+        out.rows = kept.select("value", "key").unionByName(changes.select("value", "key").where("value is not null"))
+        return out
+
     def stats(self) -> DataFrame:
         """entries, distinct_values and their ratio."""
         return self.rows.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("value").alias("distinct_values")).withColumn(
@@ -101,8 +110,44 @@ class Catalog:
 
     def save(self, name: str, path: str) -> None:
         index = self.indexes[name]
-        rows = index.rows if isinstance(index, Secondary) else index
-        rows.write.mode("overwrite").parquet(path)
+        if isinstance(index, Secondary):
+            index.rows.repartitionByRange("value").sortWithinPartitions("value", "key").write.mode("overwrite").parquet(path)
+        else:
+            text_index.save(index, path)
+
+    def load(self, name: str, path: str) -> None:
+        """A saved index under a name, instead of the one made from the rows."""
+        rows = self.rows.sparkSession.read.parquet(path)
+        if "term" in rows.columns:
+            self._add(name, rows)
+        else:
+            self._add(name, Secondary(rows, F.col("key"), F.col("value")))
+
+    def write(self, changes: DataFrame) -> None:
+        """Rows (key, value) written to the table; a null value deletes.  Secondary and full-text indexes on the value follow."""
+        changed = changes.select("key", "value")
+        self.rows = self.rows.join(changed.select("key"), "key", "left_anti").select(*self.rows.columns).unionByName(changed.where("value is not null"), allowMissingColumns=True)
+        texts = changed.select("key", F.coalesce("value", F.lit("")).alias("value"))
+        for name, index in self.indexes.items():
+            if isinstance(index, Composite):
+                raise ValueError(f"index {name!r} has fields of its own; make it again")
+            self.indexes[name] = index.updated(changed) if isinstance(index, Secondary) else text_index.updated(index, texts, "key", "value")
+
+    def rebuild(self, name: str) -> None:
+        """Make an index on the value from the rows as they are now."""
+        index = self.indexes.pop(name)
+        self.create_secondary(name) if isinstance(index, Secondary) else self.create_fulltext(name)
+
+    def stats(self) -> DataFrame:
+        """name, kind, entries and distinct values (or terms) of each index."""
+        out = None
+        for name in self.names():
+            index = self.indexes[name]
+            kind, rows, value = ("SECONDARY", index.rows, "value") if isinstance(index, Secondary) else ("FULLTEXT", index, "term")
+            kind = "COMPOSITE" if isinstance(index, Composite) else kind
+            own = rows.agg(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("entries"), F.count_distinct(value).alias("distinct_values"))
+            out = own if out is None else out.unionByName(own)
+        return out
 
 
 def condition_log(conditions: list[Condition], spark) -> DataFrame:

@@ -6,9 +6,14 @@ side; a window over the values of one group then sums counts, not rows.
 
 from __future__ import annotations
 
+import html
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming import windows
+
 
 def ranked_values(rows: DataFrame, group: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """For each group the values at given 0-based ranks; a pick may use the column ``n``."""
@@ -41,15 +46,34 @@ def rate(rows: DataFrame, time: str = "ts", width: str = "1 second") -> DataFram
 def alerts(rows: DataFrame, group: list[str], time: str, condition: Column, cooldown_seconds: float) -> DataFrame:
     """Rows that fire: the condition holds and the last alert of the group lies a cooldown back.
 
-    Whether a row fires depends on the last one that did, so the firing times
-    of one group are folded in order; only rows that fulfil the condition travel.
+    Whether a row fires depends on the last one that did: firing times are the
+    starts of windows anchored at the data, which stream through one task a
+    group; only times that fulfil the condition travel.
     """
-    hot = rows.where(condition).select(*group, F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
-    wait = F.lit(int(cooldown_seconds * 1e6)).cast("bigint")
-    times = hot.groupBy(*group).agg(F.sort_array(F.collect_list("us")).alias("times"))
-    start = F.array().cast("array<bigint>")
-    fired = F.aggregate("times", start, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= wait), F.array_append(acc, t)).otherwise(acc))
-    return times.select(*group, F.explode(fired).alias("us"))
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in group]
+    hot = rows.where(condition).select(F.to_json(F.struct(*group), {"ignoreNullFields": "false"}).alias("key"), time)
+    fired = windows.tumbling(hot, int(cooldown_seconds * 1e6), "key", time)
+    return fired.select(F.from_json("key", ", ".join(kinds)).alias("g"), "start").select("g.*", F.col("start").alias("us"))
+
+
+def notify(found: DataFrame, handlers: list) -> int:
+    """Hand each alert (a row as a dict) to every handler; alerts are few, and stream partition by partition."""
+    n = 0
+    for row in found.toLocalIterator():
+        n += 1
+        for handler in handlers:
+            handler(row.asDict(recursive=True))
+    return n
+
+
+def log_handler(path: str):
+    """A handler that appends a line an alert to a file of the driver."""
+
+    def write(alert: dict) -> None:
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(" ".join(f"{k}={v}" for k, v in alert.items()) + "\n")
+
+    return write
 
 
 def thresholds(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -75,6 +99,35 @@ def top_keys(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(k)
 
 
+def query_patterns(log: DataFrame) -> DataFrame:
+    """field, operator, n, mean and worst time of logged conditions (field, operator, took)."""
+    return log.groupBy("field", "operator").agg(F.count(F.lit(1)).alias("n"), F.avg("took").alias("mean"), F.max("took").alias("worst"))
+
+
+def growth(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Exponential growth: the straight line through ln(y) over x, as rate and start."""
+    fit = trend(rows.where(F.col(y) > 0).withColumn("_ln", F.ln(y)), x, "_ln")
+    return fit.select(F.exp("slope").alias("rate"), F.exp("intercept").alias("start"), "r2")
+
+
+def seasonal(rows: DataFrame, time: str, value: str, period: str = "hour") -> DataFrame:
+    """The mean of each part of the period (hour of the day, day of the week) against the mean of all."""
+    part = {"hour": F.hour, "weekday": F.dayofweek, "month": F.month}[period](F.col(time).cast("timestamp"))
+    means = rows.groupBy(part.alias("part")).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return means.withColumn("share", F.col("mean") / rows.agg(F.avg(value)).scalar())
+
+
+def as_json(metrics: dict[str, dict[str, float]]) -> str:
+    """Groups of numbers as JSON."""
+    return json.dumps(metrics, indent=2, sort_keys=True)
+
+
+def as_html(metrics: dict[str, float], title: str = "Metrics") -> str:
+    """A page with a table of numbers."""
+    rows = "".join(f"<tr><td>{html.escape(k)}</td><td>{v:g}</td></tr>" for k, v in sorted(metrics.items()))
+    return f"<!doctype html><title>{html.escape(title)}</title><table>{rows}</table>"
+
+
 def prometheus(metrics: dict[str, float], prefix: str = "lodestone") -> str:
     """Exposition text of a few numbers."""
     return "".join(f"# TYPE {prefix}_{k} gauge\n{prefix}_{k} {v:g}\n" for k, v in sorted(metrics.items()))

@@ -1,7 +1,7 @@
 """Full-text and positional search as joins over a postings table.
 
-Build :func:`postings` once and save it (partitioned or bucketed by term) to
-search often; every search prunes to its few query terms before anything else.
+:func:`save` writes the postings sorted by term, so that a search reads the few
+row groups of its query terms; every search prunes to them before anything else.
 """
 
 from __future__ import annotations
@@ -26,12 +26,36 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", drop_numb
     return each.groupBy("term", "doc", "doc_len", "doc_terms").agg(F.count(F.lit(1)).alias("freq"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+def save(index: DataFrame, path: str) -> None:
+    """The postings in files of term ranges, sorted, so that a term's statistics prune the rest."""
+    index.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(path)
+
+
+def removed(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """The postings without those of documents (column doc)."""
+    return index.join(docs.select("doc").distinct(), "doc", "left_anti").select(*index.columns)
+
+
+def updated(index: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The postings with documents added, or put in the place of those of the same name."""
+    return removed(index, docs.select(F.col(doc).alias("doc"))).unionByName(postings(docs, doc, text))
+
+
+def posting_list(index: DataFrame, term: str) -> DataFrame:
+    """doc, freq, positions of one term, by document."""
+    return index.where(F.col("term") == term.lower()).select("doc", "freq", "positions").orderBy("doc")
+
+
 def document_stats(index: DataFrame, documents: int | None = None) -> DataFrame:
-    """documents, terms (distinct), postings, tokens and average length; documents are those with a token, or as given."""
-    out = index.agg(F.count_distinct("doc").alias("documents"), F.count_distinct("term").alias("terms"), F.count(F.lit(1)).alias("postings"), F.sum("freq").alias("tokens"))
-    if documents is not None:
-        out = out.withColumn("documents", F.lit(documents).cast("bigint"))
-    return out.withColumn("average_length", F.col("tokens") / F.col("documents"))
+    """documents, terms (distinct), postings, tokens and average length; documents are those with a token, or as given.
+
+    Counted from one plain aggregation by term and one by document, which Spark
+    combines on the map side, instead of two distinct counts over expanded rows.
+    """
+    terms = index.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.sum("freq").alias("tokens"))
+    out = terms.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("postings"), F.lit(0)).alias("postings"), F.sum("tokens").alias("tokens"))
+    seen = F.lit(documents).cast("bigint") if documents is not None else index.select("doc").distinct().agg(F.count(F.lit(1))).scalar()
+    return out.select(seen.alias("documents"), "terms", "postings", "tokens").withColumn("average_length", F.col("tokens") / F.col("documents"))
 
 
 def all_terms(index: DataFrame) -> DataFrame:
@@ -54,6 +78,11 @@ def search(index: DataFrame, query: str) -> DataFrame:
     return search_all(index, query_tokens(query))
 
 
+def search_together(index: DataFrame, terms: list[str]) -> DataFrame:
+    """Documents with every term, which are lower-cased and not cleaned otherwise: a phrase search without positions."""
+    return search_all(index, [t.lower() for t in terms])
+
+
 def search_boolean(index: DataFrame, query: str) -> DataFrame:
     """AND, OR and NOT between words, AND binding closer than OR; a word alone is required."""
     found = None
@@ -117,23 +146,26 @@ def _matched(index: DataFrame, terms: list[str]) -> DataFrame:
     return index.where(F.col("term").isin(*sorted(set(terms)))).withColumn("times", times[F.col("term")])
 
 
-def _with_df(found: DataFrame) -> DataFrame:
-    """Document frequency of each query term: a few rows, one per term."""
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return found.join(df, "term")
+def _with_df(found: DataFrame, terms: list[str]) -> DataFrame:
+    """Document frequency of each query term: one row of counts over the same few postings, and no join."""
+    wanted = sorted(set(terms))
+    counts = found.agg(F.create_map(*[x for t in wanted for x in (F.lit(t), F.count_if(F.col("term") == t))])).scalar()
+    return found.withColumn("df", counts[F.col("term")])
 
 
 def rank_tfidf(index: DataFrame, documents: int, query: str, limit: int = 0) -> DataFrame:
     """doc, score: sum of idf / distinct terms of the document over the query's tokens, repeats counted; scores above 0 only."""
     terms = query_tokens(query)
-    scored = _with_df(_matched(index, terms) if terms else index.where("false").withColumn("times", F.lit(0)))
+    if not terms:
+        return index.where("false").groupBy("doc").agg(F.sum(F.lit(0.0)).alias("score"), F.sort_array(F.collect_list("term")).alias("matched"))
+    scored = _with_df(_matched(index, terms), terms)
     weight = F.ln(F.lit(float(documents)) / F.col("df")) / F.col("doc_len") * F.col("times")
     return _top(scored.groupBy("doc").agg(F.sum(weight).alias("score"), F.sort_array(F.collect_list("term")).alias("matched")), limit)
 
 
 def rank_bm25(index: DataFrame, documents: int, average_length: float, terms: list[str], limit: int = 0) -> DataFrame:
     """doc, score by BM25 with ln((N - df + .5) / (df + .5)), which is negative for terms in most documents; scores above 0 only."""
-    scored = _with_df(_matched(index, terms))
+    scored = _with_df(_matched(index, terms), terms)
     idf = F.ln((F.lit(float(documents)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("doc_len") / average_length))
     return _top(scored.groupBy("doc").agg(F.sum(idf * tf * F.col("times")).alias("score"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("matched")), limit)

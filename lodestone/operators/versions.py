@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import glob
+
 SCHEMA = "key string, seq bigint, value string, deleted boolean"
 
 
@@ -101,38 +103,84 @@ def collected(versions: DataFrame, min_active: int) -> DataFrame:
 
 
 def version_stats(versions: DataFrame) -> DataFrame:
-    return versions.agg(F.count_distinct("key").alias("keys"), F.count(F.lit(1)).alias("versions"))
+    """keys and versions; with a transaction column also the open transactions and the oldest one's first version."""
+    counts = [F.count_distinct("key").alias("keys"), F.count(F.lit(1)).alias("versions")]
+    if "txn" in versions.columns:
+        counts += [F.count_distinct(F.when(~F.col("committed"), F.col("txn"))).alias("active"), F.min(F.when(~F.col("committed"), F.col("create_ts"))).alias("oldest")]
+    return versions.agg(*counts)
+
+
+# Writes of MVCC transactions: each gives the versions (key, create_ts, value, delete_ts, committed, txn) after it.
+
+
+def written(versions: DataFrame, rows: DataFrame, txn: int, at: int) -> DataFrame:
+    """New versions of ``rows`` (key, value), not committed yet."""
+    fresh = rows.select("key", F.lit(at).cast("bigint").alias("create_ts"), "value", F.lit(0).cast("bigint").alias("delete_ts"), F.lit(False).alias("committed"), F.lit(txn).cast("bigint").alias("txn"))
+    return versions.select(*fresh.columns).unionByName(fresh)
+
+
+def removed(versions: DataFrame, keys: DataFrame, at: int) -> DataFrame:
+    """The newest version of each of the keys is marked as deleted at that time."""
+    newest = versions.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("create_ts").alias("_newest"))
+    marked = versions.join(newest, "key", "left").withColumn("delete_ts", F.when(F.col("create_ts") == F.col("_newest"), F.lit(at).cast("bigint")).otherwise(F.col("delete_ts")))
+    return marked.select(*versions.columns)
+
+
+def committed(versions: DataFrame, txn: int) -> DataFrame:
+    return versions.withColumn("committed", F.col("committed") | (F.col("txn") == txn))
+
+
+def aborted(versions: DataFrame, txn: int) -> DataFrame:
+    """Without the transaction's versions that are not committed."""
+    return versions.where(F.col("committed") | (F.col("txn") != txn))
 
 
 class Store:
     """A version log in a Parquet folder: appends, snapshots, transactions and rewrites (one writer)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.snapshots = spark, path.rstrip("/"), []
+        self.spark, self.path, self.snapshots, self._last = spark, path.rstrip("/"), [], None
         self.current = f"{self.path}/log-0"
-        self._jvm = spark.sparkContext._jvm
-        folder = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        if logs := sorted((n for n in names if n.startswith("log-")), key=lambda n: int(n[4:])):
+        if logs := sorted((n for n in self._names() if n.startswith("log-")), key=lambda n: int(n[4:])):
             self.current = f"{self.path}/{logs[-1]}"
         else:
             spark.createDataFrame([], SCHEMA).write.parquet(self.current)
 
+    def _folder(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        folder, fs = self._folder(self.path)
+        return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+    def _delete(self, path: str) -> None:
+        folder, fs = self._folder(path)
+        fs.delete(folder, True)
+
     @property
     def log(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.current)
 
     def last(self) -> int:
-        return self.log.agg(F.max("seq")).first()[0] or 0
+        """The last sequence number: the log is asked once, then this one writer counts on."""
+        if self._last is None:
+            self._last = self.log.agg(F.max("seq")).first()[0] or 0
+        return self._last
+
+    def append(self, rows: DataFrame, size: int | None = None) -> None:
+        """key, value, deleted, ordinal: one atomic append; seq follows the last one in ordinal order.
 
-    def append(self, rows: DataFrame) -> None:
-        """key, value, deleted, ordinal: one atomic append; seq follows the last one in ordinal order."""
-        rows.select("key", (F.col("ordinal") + F.lit(self.last() + 1)).cast("bigint").alias("seq"), "value", "deleted").write.mode("append").parquet(self.current)
+        ``size`` is one more than the largest ordinal, where the caller knows it.
+        """
+        base = self.last()
+        rows.select("key", (F.col("ordinal") + F.lit(base + 1)).cast("bigint").alias("seq"), "value", "deleted").write.mode("append").parquet(self.current)
+        self._last = base + size if size is not None else None
 
     def _rows(self, ops: list[tuple[str, str | None, bool]]) -> None:
         rows = [(k, v, d, i) for i, (k, v, d) in enumerate(ops)]
-        self.append(self.spark.createDataFrame(rows, "key string, value string, deleted boolean, ordinal bigint"))
+        if rows:
+            self.append(self.spark.createDataFrame(rows, "key string, value string, deleted boolean, ordinal bigint"), len(rows))
 
     def put(self, key: str, value: str) -> None:
         self._rows([(key, value, False)])
@@ -152,7 +200,7 @@ class Store:
 
     def load(self, rows: DataFrame) -> None:
         """Bulk put of a table (key, value) with distinct keys: one sequence number for all."""
-        self.append(rows.select("key", "value", F.lit(False).alias("deleted"), F.lit(0).alias("ordinal")))
+        self.append(rows.select("key", "value", F.lit(False).alias("deleted"), F.lit(0).alias("ordinal")), 1)
 
     def snapshot(self) -> int:
         self.snapshots.append(self.last())
@@ -168,8 +216,42 @@ class Store:
         target = f"{self.path}/log-{number}"
         kept.repartitionByRange("key").sortWithinPartitions("key", "seq").write.parquet(target)
         old, self.current = self.current, target
-        gone = self._jvm.org.apache.hadoop.fs.Path(old)
-        gone.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        self._delete(old)
+
+    def min_snapshot(self) -> int | None:
+        return min(self.snapshots, default=None)
+
+    def flush(self) -> int:
+        """Appends are durable when they return, so there is nothing to write; gives the number of files of the log."""
+        return len(self.log.inputFiles())
+
+    def stats(self) -> dict[str, int]:
+        row = self.log.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("key").alias("keys"), F.max("seq").alias("last")).first()
+        return {"versions": row["versions"], "keys": row["keys"], "last": row["last"] or 0, "snapshots": len(self.snapshots)}
+
+    def subscribe(self, pattern: str = "*", after: int = 0) -> DataFrame:
+        """Changes of the keys that a glob matches, behind a sequence number, in order."""
+        return self.log.where((F.col("seq") > after) & glob(F.col("key"), pattern)).orderBy("seq")
+
+    # Checkpoints: whole tables beside the log, each in a folder of its own with its number and description.
+
+    def checkpoint(self, description: str = "", keep: int = 0) -> int:
+        """Write the newest versions as a checkpoint and give its number; with ``keep`` only so many of the last stay."""
+        number = max(self.checkpoints(), default=0) + 1
+        latest(self.log).withColumn("description", F.lit(description)).write.parquet(f"{self.path}/checkpoint-{number}")
+        for old in sorted(self.checkpoints())[:-keep] if keep else []:
+            self._delete(f"{self.path}/checkpoint-{old}")
+        return number
+
+    def checkpoints(self) -> list[int]:
+        return sorted(int(n.rsplit("-", 1)[1]) for n in self._names() if n.startswith("checkpoint-"))
+
+    def restore(self, number: int) -> None:
+        """Append what brings the store back to a checkpoint: its rows, and tombstones for keys that it lacks."""
+        then = self.spark.read.parquet(f"{self.path}/checkpoint-{number}").select("key", "value")
+        gone = latest(self.log).join(then, "key", "left_anti").select("key", F.lit(None).cast("string").alias("value"), F.lit(True).alias("deleted"))
+        back = then.withColumn("deleted", F.lit(False)).unionByName(gone)
+        self.append(back.withColumn("ordinal", F.lit(0)), 1)
 
     def transaction(self) -> Transaction:
         return Transaction(self)

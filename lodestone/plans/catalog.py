@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from ..functions import values as V
 from ..functions.predicates import Condition
 from ..operators import indexes, metrics, schemas, shards, text_index, typed, versions
 from ..operators.query import QueryEngine
+from ..session import scratch
+from ..sources import files
 from ..streaming import pipeline, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,7 +148,7 @@ def kv_compact(spark, d):
 
 @query(f"WITH {USER_LOG} SELECT key, seq, value, deleted FROM log WHERE seq > 9000")
 def log_since(spark, d):
-    return user_log(spark, d).where("seq > 9000")
+    return files.since(user_log(spark, d), 9000)
 
 
 def order_versions(spark, d):
@@ -408,20 +411,6 @@ def map_functions(spark, d):
     return m.select("user_id", V.map_text(put).alias("shown"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("names"), F.map_contains_key("m", "click").alias("has_click"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"type\":\"STRING\",\"value\":\"' || event_type || '\"}' AS json FROM events")
-def json_values(spark, d):
-    t = table(spark, d, "events")
-    return t.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), V.typed_json(F.lit("STRING"), F.col("event_type")).alias("json"))
-
-
-@query(f"WITH {PARTS_KV} SELECT key, CAST(('0x' || substr(sha256(value), 1, 2)) AS BIGINT) AS code, array_to_string(string_split(key, ':'), '|') AS joined FROM kv")
-def hash_and_composite_key(spark, d):
-    kv = parts_kv(spark, d)
-    parts = F.split("key", ":")
-    code = F.conv(F.substring(F.sha2(F.col("value").cast("binary"), 256), 1, 2), 16, 10).cast("bigint")
-    return kv.select("key", code.alias("code"), V.composite_key(parts[0], parts[1], parts[2]).alias("joined"))
-
-
 # Indexes
 
 
@@ -503,7 +492,19 @@ df AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
 
 
 def doc_index(spark, d):
-    return text_index.postings(table(spark, d, "documents"))
+    """Postings of the documents, written once a session and state of the table, sorted by term."""
+    docs = table(spark, d, "documents")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    states = []
+    for name in sorted(docs.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        at = path.getFileSystem(conf).getFileStatus(path)
+        states.append((name, at.getLen(), at.getModificationTime()))
+    kept = spark.__dict__.setdefault("_lodestone_postings", {})
+    if (state := tuple(states)) not in kept:
+        kept[state] = f"{scratch(spark)}/postings-{uuid.uuid4().hex}"
+        text_index.save(text_index.postings(docs), kept[state])
+    return spark.read.parquet(kept[state])
 
 
 @query(f"WITH {TOKENS} SELECT count(DISTINCT doc) AS documents, count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(freq) AS BIGINT) AS tokens, round(sum(freq) / count(DISTINCT doc), 4) AS average_length FROM postings")
@@ -750,3 +751,6 @@ def shard_counts(spark, d):
 @query(f"WITH {ORDERS_KV} SELECT key, value, {_SHARD} AS shard FROM kv WHERE key BETWEEN 'orders:25' AND 'orders:4'")
 def shard_scan(spark, d):
     return shards.scan(orders_kv(spark, d), BOUNDS, "orders:25", "orders:4")
+
+
+from . import catalog_stores, catalog_values  # noqa: E402, F401  (they register more queries)

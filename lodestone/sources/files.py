@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KV = "key string, value string"
@@ -39,24 +39,51 @@ def migrate(spark: SparkSession, source: str, target: str, key_contains: str = "
 def replay(spark: SparkSession, path: str, start_seq: int = 1) -> DataFrame:
     """Version log from text lines ``PUT key value`` and ``DEL key``; files by name, lines in order.
 
-    The value is all behind the key's blank.  Lines get their sequence from file
-    order, so a file is the unit of parallel reading.
+    The value is all behind the key's blank.  Lines are read one by one and
+    numbered by file and byte range: Spark's partition of a row and its place in
+    it, with the files' ranges put in order, so that no file is held whole.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    parts = F.split("text", " ", 3)
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value", F.monotonically_increasing_id().alias("id"))
+    ranges = lines.groupBy("file_path", "file_block_start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("file_path", "file_block_start").rowsBetween(Window.unboundedPreceding, -1)  # one row a range of a file
+    ranges = ranges.select(F.col("file_path").alias("p"), F.col("file_block_start").alias("b"), "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    parts = F.split("value", " ", 3)
     kind = F.upper(F.element_at(parts, 1))
-    rows = lines.where(kind.isin("PUT", "DEL") & (F.size(parts) >= 2))
-    sizes = rows.groupBy("file").agg(F.max("line").alias("last")).orderBy("file").collect()  # one row a file
-    base, offsets = start_seq, {}
-    for r in sizes:
-        offsets[r["file"]] = base
-        base += r["last"] + 1
-    offset = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])[F.col("file")] if offsets else F.lit(0)
-    return rows.select(F.element_at(parts, 2).alias("key"), (offset + F.col("line")).cast("bigint").alias("seq"), F.when(kind == "PUT", F.coalesce(F.get(parts, 2), F.lit(""))).alias("value"), (kind == "DEL").alias("deleted"))
-
-
-def since(log: DataFrame, seq: int) -> DataFrame:
-    return log.where(F.col("seq") > seq)
+    rows = lines.join(ranges, (F.col("file_path") == F.col("p")) & (F.col("file_block_start") == F.col("b"))).where(kind.isin("PUT", "DEL") & (F.size(parts) >= 2))
+    seq = (F.col("base") + F.col("id") - F.col("first") + start_seq).cast("bigint")
+    return rows.select(F.element_at(parts, 2).alias("key"), seq.alias("seq"), F.when(kind == "PUT", F.coalesce(F.get(parts, 2), F.lit(""))).alias("value"), (kind == "DEL").alias("deleted"))
+
+
+def since(log: DataFrame, seq: int, upto: int | None = None) -> DataFrame:
+    """What a log has behind a sequence number, up to another one."""
+    rows = log.where(F.col("seq") > seq)
+    return rows.where(F.col("seq") <= upto) if upto is not None else rows
+
+
+def read_column(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """One column of a Parquet table; the others are not read."""
+    return spark.read.parquet(path).select(column)
+
+
+def records_where(spark: SparkSession, path: str, column: str, value) -> DataFrame:
+    """The records whose column has a value; row groups that cannot have it are skipped."""
+    return spark.read.parquet(path).where(F.col(column) == value)
+
+
+#: How a rewrite lays out a table, by strategy: rows a file, and what the files are ordered or cut by.
+LAYOUTS = {"LEVELED": 1_000_000, "TIERED": 4_000_000, "SIZE_TIERED": 2_000_000, "TIME_WINDOW": 1_000_000}
+
+
+def rewrite(rows: DataFrame, path: str, strategy: str = "LEVELED", time: str | None = None, window: str = "day") -> None:
+    """Write a table in the layout of a strategy: key ranges that do not meet (LEVELED), sorted runs of some size, or folders by time window."""
+    writer = rows
+    if strategy == "TIME_WINDOW":
+        writer = rows.withColumn("window", F.date_trunc(window, F.col(time).cast("timestamp")).cast("date")).repartition("window").sortWithinPartitions("window", "key").write.partitionBy("window")
+    elif strategy == "LEVELED":
+        writer = rows.repartitionByRange("key").sortWithinPartitions("key").write
+    else:
+        writer = rows.sortWithinPartitions("key").write
+    writer.option("maxRecordsPerFile", LAYOUTS[strategy]).mode("overwrite").parquet(path)
 
 
 def blobs(spark: SparkSession, path: str) -> DataFrame:

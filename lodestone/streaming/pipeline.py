@@ -43,13 +43,16 @@ class Pipeline:
     def reduce(self, *aggregates: Column) -> Pipeline:
         return self.step(lambda df: df.agg(*aggregates))
 
-    def fold(self, order: str, column: str, start: Column, fn) -> Pipeline:
+    def fold(self, order: str, column: str, start: Column, fn, key: str | None = None) -> Pipeline:
         """A left fold over the values of ``column`` in the order of ``order``, for functions that are not associative.
 
-        It needs all values in one place; use :meth:`reduce` where an aggregate will do.
+        With a key one row a key, each key's values in one place.  Without, the
+        whole table is one group in one task; use :meth:`reduce` where an
+        aggregate will do.
         """
         items = F.sort_array(F.collect_list(F.struct(order, column)))
-        return self.step(lambda df: df.agg(F.aggregate(F.transform(items, lambda e: e[column]), start, fn).alias(column)))
+        folded = F.aggregate(F.transform(items, lambda e: e[column]), start, fn).alias(column)
+        return self.step(lambda df: (df.groupBy(key) if key else df).agg(folded))
 
     def join(self, other: DataFrame, key: str, window_us: int, time: str = "timestamp") -> Pipeline:
         return self.step(lambda df: windows.interval_join(df, other, key, window_us, time, time))
@@ -81,7 +84,7 @@ class Pipeline:
 
 def routed(events: DataFrame, routes: list[tuple[str, str, str, int]]) -> DataFrame:
     """One row per event and handler: routes are (event type or '*', key expression, handler, priority)."""
-    fits = [F.when(F.lit(t == "*") | (F.col("type") == t), True).otherwise(False) & F.col("key").rlike(f"^(?:{k})$") for t, k, _, _ in routes]
+    fits = [F.when(F.lit(t == "*") | (F.col("type") == t), True).otherwise(False) & F.col("key").rlike(rf"\A(?:{k})\z") for t, k, _, _ in routes]
     hits = F.filter(F.array(*[F.when(f, F.struct(F.lit(-p).alias("order"), F.lit(h).alias("handler"))) for f, (_, _, h, p) in zip(fits, routes)]), lambda x: x.isNotNull())
     return events.withColumn("_hit", F.explode(F.sort_array(hits))).withColumn("handler", F.col("_hit.handler")).withColumn("priority", -F.col("_hit.order")).drop("_hit")
 
