@@ -105,5 +105,31 @@ def small(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+#: Rows of a class from which on it is looked up apart, and such classes up to which they are broadcast.
+HEAVY, BROADCAST_CLASSES, SALT = 1000, 10_000, 32
+
+
+def looked_up(rows: DataFrame, told: DataFrame, members: str) -> DataFrame:
+    """``rows`` with what ``told`` (k and others) says of their ``key``; nulls where it says nothing.
+
+    Rows without a key, and those of a class with many ``members``, are not
+    gathered in one task: the few heavy classes are broadcast, else salted.
+    """
+    some, heavy = rows.where("key is not null"), F.col(members) > HEAVY
+    hot, cold = told.where(heavy), told.where(~heavy)
+    if small(hot, BROADCAST_CLASSES):
+        held = some.join(F.broadcast(hot), F.col("key") == F.col("k"))
+        rest = some.join(F.broadcast(hot.select("k")), F.col("key") == F.col("k"), "left_anti").join(cold, F.col("key") == F.col("k"), "left")
+        out = held.unionByName(rest)
+    else:
+        salted = told.withColumn("salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))))
+        listed = hot.select(F.col("k").alias("hot_key")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        dealt = some.withColumn("deal", F.floor(F.rand(7) * SALT).cast("int"))
+        marked = dealt.join(listed, (F.col("key") == F.col("hot_key")) & (F.col("deal") == F.col("salt")), "left").drop("salt")
+        marked = marked.withColumn("own", F.when(F.col("hot_key").isNotNull(), F.col("deal")).otherwise(F.lit(0)))
+        out = marked.join(salted, (F.col("key") == F.col("k")) & (F.col("own") == F.col("salt")), "left").drop("salt", "own", "deal", "hot_key")
+    return out.unionByName(rows.where("key is null"), allowMissingColumns=True)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ._bytes import U, blocks, gather, mix, rolling, span_hash, utf8, words
 from ._chunks import CHUNK, CHUNK_DOCS, bucket_count, buckets, by_bucket, chunked, opened, to_buckets
-from ._common import arrow, durable
+from ._common import arrow, durable, looked_up
 from .components import components
 
 #: Bits of a token by which it is sorted first: the rest of 64 numbers the documents of a chunk.
@@ -400,7 +400,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
     powers = powers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "powers")).alias("found"))  # at most a byte a token of the chunk
     told = chunks.join(powers, "chunk", "left").select("ids", "ends", "body", "found")
     shingled = durable(arrow(told, _shingled(size, percent, n_buckets), f"id {id_type}, n bigint, key binary, parity binary, entries array<bigint>, mark bigint"), "shingled")
-    classes = shingled.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("entries").alias("entries"), F.first("mark").alias("mark"))
+    classes = shingled.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("entries").alias("entries"), F.first("mark").alias("mark"), F.count(F.lit(1)).alias("members"))
     classes = durable(classes, "classes")
     index = classes.select("key", F.explode("entries").alias("entry"))
     shared = index.groupBy("entry").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -427,14 +427,14 @@ def _classes(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))  # classes without an id come last
     best = member.groupBy("root").agg(first.alias("first"))
     named = member.join(best, "root").select(F.col("node").alias("key"), F.col("first.least").alias("component"), F.col("first.node").alias("keep"))
-    return shingled.select("id", "n", "key"), classes.select("key", "least"), durable(named, "named")
+    return shingled.select("id", "n", "key"), classes.select("key", "least", "members"), durable(named, "named")
 
 
 def join(docs: DataFrame, size: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every document: links have 100 * |A & B| >= percent * |A | B|."""
     sets_of, classes, named = _classes(docs, size, percent, id_column, text_column)
-    told = classes.join(named, "key", "left").select(F.col("key").alias("k"), F.coalesce("component", "least").alias("component"))
-    out = sets_of.join(told, F.col("key") == F.col("k"), "left")
+    told = classes.join(named, "key", "left").select(F.col("key").alias("k"), "members", F.coalesce("component", "least").alias("component"))
+    out = looked_up(sets_of, durable(told, "told"), "members")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

@@ -335,6 +335,40 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert rows(embedding_dedup.near_duplicates(df)) == want
 
 
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_heavy_classes_are_looked_up(spark, monkeypatch, broadcast):
+    from lodestone.llm import _common
+
+    monkeypatch.setattr(_common, "HEAVY", 5)
+    monkeypatch.setattr(_common, "BROADCAST_CLASSES", broadcast)
+    rows = [(i, k) for k, n in (("a", 40), ("b", 6), ("c", 5), ("d", 1), (None, 9)) for i in range(n)]
+    told = spark.createDataFrame([("a", 40, "A"), ("b", 6, "B"), ("c", 5, "C")], "k string, members bigint, name string")
+    out = _common.looked_up(spark.createDataFrame(rows, "id bigint, key string"), told, "members")
+    assert Counter((r["id"], r["key"], r["name"]) for r in out.collect()) == Counter((i, k, k.upper() if k in ("a", "b", "c") else None) for i, k in rows)
+
+
+def test_copies_without_ids_leave_one(spark):
+    near = BASE.replace("word5x35", "other")
+    docs = spark.createDataFrame([(None, BASE), (None, near), (None, near), (7, "something else altogether")], "doc_id bigint, text string")
+    kept = [r["text"] for r in jaccard_join.representatives(docs).collect()]
+    assert len(kept) == 2 and "something else altogether" in kept
+
+
+def test_vectors_of_any_size(spark):
+    given = [(0, [1e-200, 2e-200], 0), (1, [1e200, 2e200], 0), (2, [1.0, 2.0], 0), (3, [0.0, 0.0], 0), (4, [float("inf"), 1.0], 0), (5, [2.0, -1.0], 0)]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(given, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert out == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
+def test_entries_of_a_text_of_frequent_tokens_stay_few():
+    rng = np.random.default_rng(2)
+    token = np.sort(rng.integers(0, 1 << 63, 20_000, dtype=np.int64).astype(np.uint64))
+    out = jaccard_join.signatures(token, np.full(len(token), 14, np.uint8), np.array([0, len(token)]), 80)
+    assert len(out[0]) <= len(token)
+    alone = jaccard_join.signatures(token[:1], np.full(1, 14, np.uint8), np.array([0, 1]), 50)
+    assert len(alone[0]) == 1  # two sets may link by this token alone
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     vectors = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
