@@ -231,6 +231,21 @@ for _strategy in files.LAYOUTS:
     _rewritten(_strategy)
 
 
+@query(f"WITH {CUSTOMERS_KV} SELECT key, value FROM kv WHERE key IN ('customer:7', 'customer:77')")
+def point_read_by_bloom(spark, d):
+    """Key ranges, statistics and Bloom filters leave few row groups to read."""
+    path = folder(spark, "keyed")
+    files.keyed(customers_kv(spark, d), path, "zstd")
+    return spark.read.parquet(path).where(F.col("key").isin("customer:7", "customer:77"))
+
+
+@query("SELECT * FROM (VALUES ('gzip', true), ('lz4', true), ('none', false), ('snappy', true), ('zstd', true)) AS t(codec, smaller)")
+def codec_comparison(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", F.repeat("l_returnflag", 20).alias("text"))
+    sizes = files.codec_sizes(rows.coalesce(1), folder(spark, "codecs"))
+    return spark.createDataFrame([(c, n < sizes["none"]) for c, n in sizes.items()], "codec string, smaller boolean")
+
+
 # Index maintenance
 
 CHANGES = "changes AS (SELECT c_name AS key, CASE WHEN c_custkey % 10 = 0 THEN 'MOVED' ELSE NULL END AS value FROM customer WHERE c_custkey % 10 = 0 OR c_custkey % 7 = 0)"

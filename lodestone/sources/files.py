@@ -70,6 +70,22 @@ def records_where(spark: SparkSession, path: str, column: str, value) -> DataFra
     return spark.read.parquet(path).where(F.col(column) == value)
 
 
+def keyed(rows: DataFrame, path: str, codec: str = "snappy", key: str = "key") -> None:
+    """Write a table for point reads: sorted key ranges, a Bloom filter of the keys in each row group, compressed by a codec."""
+    writer = rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("compression", codec)
+    writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", "1000000").parquet(path)
+
+
+def codec_sizes(rows: DataFrame, path: str, codecs: tuple[str, ...] = ("none", "snappy", "lz4", "gzip", "zstd")) -> dict[str, int]:
+    """Bytes of a table under each codec, by writing it below ``path``."""
+    spark, out = rows.sparkSession, {}
+    for codec in codecs:
+        rows.write.mode("overwrite").option("compression", codec).parquet(f"{path}/{codec}")
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{codec}")
+        out[codec] = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(found).getLength()
+    return out
+
+
 #: How a rewrite lays out a table, by strategy: rows a file, and what the files are ordered or cut by.
 LAYOUTS = {"LEVELED": 1_000_000, "TIERED": 4_000_000, "SIZE_TIERED": 2_000_000, "TIME_WINDOW": 1_000_000}
 

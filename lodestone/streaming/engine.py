@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import glob
+from ..session import scratch
 from .pipeline import Pipeline
 
 
@@ -45,8 +47,9 @@ class Engine:
             own["batches"] += 1
             own["events"] += n
             try:
-                out[name] = pipeline.execute(events)
-                own["rows"] += out[name].count()
+                found = pipeline.execute(events)
+                own["rows"] += found.count()
+                out[name] = found
             except Exception:
                 own["failed"] += 1
         return out
@@ -69,19 +72,22 @@ def handle(events: DataFrame, handler: Callable[[DataFrame], None], condition: C
     if not size:
         handler(rows)
         return 1
-    numbered = batches(rows, size, order).persist()
-    try:
-        last = numbered.agg(F.max("batch")).first()[0]
-        for k in range(0 if last is None else last + 1):
-            handler(numbered.where(F.col("batch") == k).drop("batch"))
-        return 0 if last is None else last + 1
-    finally:
-        numbered.unpersist()
+    numbered = batches(rows, size, order)
+    last = numbered.agg(F.max("batch")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        handler(numbered.where(F.col("batch") == k).drop("batch"))
+    return 0 if last is None else last + 1
 
 
 def batches(events: DataFrame, size: int, order: str = "timestamp") -> DataFrame:
-    """Adds ``batch``: events in order, ``size`` to a batch.  Ranges are sorted apart and counted, so no task sees all rows."""
-    sorted_rows = events.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    """Adds ``batch``: events in order, ``size`` to a batch.
+
+    Ranges are sorted apart, written once with their places, and counted, so no
+    task sees all rows and both readers see the same places.
+    """
+    spark, path = events.sparkSession, f"{scratch(events.sparkSession)}/ordered-{uuid.uuid4().hex}"
+    events.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    sorted_rows = spark.read.parquet(path)
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     sizes = sorted_rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a partition
     base, before = {}, 0
