@@ -1,27 +1,50 @@
 """Summaries of measurements: percentiles, rates, thresholds, alerts, trends.
 
 Exact ranks come from counts per distinct value, which are combined on the map
-side; a window over the values of one group then sums counts, not rows.
+side; windows then sum the counts of those ranges of values that hold the ranks.
 """
 
 from __future__ import annotations
 
 import html
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming import windows
 
+#: Ranges that a group's values are cut into, and rows up to which a table is broadcast.
+PARTS, FEW = 64, 10_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
 
 def ranked_values(rows: DataFrame, group: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
-    """For each group the values at given 0-based ranks; a pick may use the column ``n``."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.select(*group, F.col(value).alias("_v"), "_c", F.sum("_c").over(upto).alias("_upto"), F.sum("_c").over(Window.partitionBy(*group)).alias("n"))
+    """For each group the values at given 0-based ranks; a pick may use the column ``n``.
+
+    A group's values are cut into PARTS ranges at approximate quantiles.  Counts
+    of the ranges tell which of them hold the ranks, and only those are sorted,
+    so that one large group is no one task.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    counts = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = F.percentile_approx(value, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(10 * PARTS))
+    edges = known.groupBy(*group).agg(cuts.alias("_cuts"), F.count(F.lit(1)).alias("n"))
+    placed = counts.join(_few(edges), group).withColumn("_part", F.size(F.filter("_cuts", lambda e: e < F.col(value)))).drop("_cuts")
+    sums = placed.groupBy(*group, "_part", "n").agg(F.sum("_c").alias("_s"))
+    upto = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows a group at most
+    parts = sums.withColumn("_before", F.coalesce(F.sum("_s").over(upto), F.lit(0)))
+    parts = parts.where(reduce(or_, [(F.col("_before") <= p) & (p < F.col("_before") + F.col("_s")) for p in picks.values()])).drop("_s", "n")
+    within = Window.partitionBy(*group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(_few(parts), [*group, "_part"]).select(*group, "n", F.col(value).alias("_v"), "_c", (F.col("_before") + F.sum("_c").over(within)).alias("_upto"))
     out = [F.max(F.when((F.col("_upto") > p) & (F.col("_upto") - F.col("_c") <= p), F.col("_v"))).alias(name) for name, p in picks.items()]
-    return placed.groupBy(*group, "n").agg(*out)
+    return ranked.groupBy(*group, "n").agg(*out)
 
 
 def percentiles(rows: DataFrame, group: list[str], value: str, points: list[float]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Typed stores, catalogs, checkpoints, engines and hashes on small fixtures with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,13 @@ def test_replay_numbers_lines_over_file_ranges(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == {10 + i: (f"k{i % 50}", f"value {i}" if i % 7 else None, not i % 7) for i in range(3000)}
+
+
+def test_ranks_in_large_groups(spark):
+    rng = random.Random(3)
+    values = {"many": [rng.random() for _ in range(5000)], "few": [1.0] * 700 + [2.0] * 300 + [3.0], "one": [4.5]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("many", None)], "g string, v double")
+    points = [0, 1, 50, 95, 99, 100]
+    out = {r["g"]: r for r in metrics.percentiles(rows, ["g"], "v", points).collect()}
+    for g, vs in values.items():
+        assert out[g]["n"] == len(vs) and [out[g][f"p{p}"] for p in points] == [sorted(vs)[int(p / 100 * (len(vs) - 1))] for p in points]
