@@ -71,7 +71,7 @@ def json_field(spark, d):
   CASE type WHEN 'INT' THEN 1 WHEN 'DOUBLE' THEN 3 WHEN 'STRING' THEN 4 WHEN 'TIMESTAMP' THEN 5 ELSE 6 END AS rank, type AS name FROM typed""")
 def value_sizes_and_types(spark, d):
     rank = V.type_rank(F.col("type")).cast("int")
-    return typed_rows(spark, d).select("key", V.byte_size(F.col("type"), F.col("s")).alias("bytes"), rank.alias("rank"), V.type_name(rank).alias("name"))
+    return typed_rows(spark, d).select("key", V.byte_size(F.col("type"), F.col("s")).cast("bigint").alias("bytes"), rank.alias("rank"), V.type_name(rank).alias("name"))
 
 
 @query("""WITH v AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 4 END AS rank, lpad(CAST(user_id AS VARCHAR), 8, '0') AS value FROM events),
@@ -80,7 +80,7 @@ def value_order_first(spark, d):
     """The first 50 values by type, then value, with their places."""
     kind = F.when(F.col("event_id") % 2 == 0, "INT").otherwise("STRING")
     rows = table(spark, d, "events").select("event_id", V.order_key(kind, F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("k"))
-    return rows.orderBy("k", "event_id").limit(50).select("event_id", F.row_number().over(Window.orderBy("k", "event_id")).alias("place"))
+    return rows.orderBy("k", "event_id").limit(50).select("event_id", F.row_number().over(Window.orderBy("k", "event_id")).cast("bigint").alias("place"))
 
 
 @query("""SELECT a.event_id, (a.event_id % 2 = b.event_id % 2) AND a.user_id = b.user_id AS same,
