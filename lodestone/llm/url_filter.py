@@ -21,6 +21,8 @@ from ._common import small
 
 #: Rules up to this number are broadcast (a digest, a rule text and a verdict each).
 BROADCAST_RULES = 100_000
+#: Copies of a row that one array stands for.
+COPIES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -59,5 +61,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column:
         listed = F.broadcast(listed)
     hit = (F.col("short") == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest"))
     best = expressions.join(listed, hit, "left").groupBy("id", "host", "path", "copies").agg(F.max("rank").alias("rank"))
-    out = best.select("id", "host", "path", F.col("rank.rule").alias("rule"), F.coalesce("rank.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    out = best.select("id", "host", "path", F.col("rank.rule").alias("rule"), F.coalesce("rank.verdict", F.lit(default)).alias("verdict"), "copies")
+    # as many rows as there were, in steps, so that no array grows with the number of copies
+    out = out.withColumn("step", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES).cast("bigint"), F.col("copies") - F.col("step") * COPIES))))
     return out.select(F.col("id").alias(id_column), "host", "path", "rule", "verdict")

@@ -294,6 +294,13 @@ def test_line_dedup(docs, monkeypatch, listed):
     assert line_dedup.remove(docs).dtypes == docs.dtypes
 
 
+def test_url_filter_gives_every_copy(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "COPIES", 4)
+    pages = spark.createDataFrame([(i, "http://a.org/x") for i, n in ((1, 1), (2, 4), (3, 9)) for _ in range(n)], "page_id bigint, url string")
+    rules = spark.createDataFrame([("org", "/", "allow")], "host string, path string, verdict string")
+    assert Counter(r["page_id"] for r in url_filter.judge(pages, rules).collect()) == {1: 1, 2: 4, 3: 9}
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x", "http://example.org/en/12?q", "http://example.org/en/2#f", "https://x.com/de/", "https://com/fr/a", "http://notexample.org/es/", "http://example.org", "a://b://c.org/", "http://x.com?/de/", "http://.org/", "http://x\n.com/de/y"]
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
