@@ -16,49 +16,40 @@ from pyspark.sql import functions as F
 
 from ..streaming import windows
 
-#: Ranges that a group's values are cut into, and rows up to which a table is broadcast.
-PARTS, FEW = 64, 10_000
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    """The rows, to be broadcast if they are few."""
-    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+#: Ranges that a group's values are cut into.
+PARTS = 64
 
 
 def ranked_values(rows: DataFrame, group: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
-    """For each group the values at given 0-based ranks; a pick may use the column ``n``.
+    """For each group n, mean and the values at given 0-based ranks; a pick may use the column ``n``.
 
-    A group's values are cut into PARTS ranges at approximate quantiles.  Counts
-    of the ranges tell which of them hold the ranks, and only those are sorted,
-    so that one large group is no one task.
+    A group's distinct values are cut into PARTS ranges at approximate quantiles.
+    Counts of the ranges tell which of them hold the ranks, and only those are
+    sorted, so that one large group is no one task.  The tables of cuts and ranges
+    are small, and adaptive execution broadcasts them where they are.
     """
-    known = rows.where(F.col(value).isNotNull())
-    counts = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
     cuts = F.percentile_approx(value, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(10 * PARTS))
-    edges = known.groupBy(*group).agg(cuts.alias("_cuts"), F.count(F.lit(1)).alias("n"))
-    placed = counts.join(_few(edges), group).withColumn("_part", F.size(F.filter("_cuts", lambda e: e < F.col(value)))).drop("_cuts")
+    edges = counts.groupBy(*group).agg(cuts.alias("_cuts"), F.sum("_c").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"))
+    placed = counts.join(edges, group).withColumn("_part", F.size(F.filter("_cuts", lambda e: e < F.col(value)))).drop("_cuts")
     sums = placed.groupBy(*group, "_part", "n").agg(F.sum("_c").alias("_s"))
     upto = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows a group at most
     parts = sums.withColumn("_before", F.coalesce(F.sum("_s").over(upto), F.lit(0)))
     parts = parts.where(reduce(or_, [(F.col("_before") <= p) & (p < F.col("_before") + F.col("_s")) for p in picks.values()])).drop("_s", "n")
     within = Window.partitionBy(*group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(_few(parts), [*group, "_part"]).select(*group, "n", F.col(value).alias("_v"), "_c", (F.col("_before") + F.sum("_c").over(within)).alias("_upto"))
+    ranked = placed.join(parts, [*group, "_part"]).select(*group, "n", "mean", F.col(value).alias("_v"), "_c", (F.col("_before") + F.sum("_c").over(within)).alias("_upto"))
     out = [F.max(F.when((F.col("_upto") > p) & (F.col("_upto") - F.col("_c") <= p), F.col("_v"))).alias(name) for name, p in picks.items()]
-    return ranked.groupBy(*group, "n").agg(*out)
+    return ranked.groupBy(*group, "n", "mean").agg(*out)
 
 
 def percentiles(rows: DataFrame, group: list[str], value: str, points: list[float]) -> DataFrame:
     """Nearest rank floor(p / 100 * (n - 1)), with mean and count."""
-    picks = {f"p{p:g}".replace(".", "_"): F.floor(F.lit(p / 100) * (F.col("n") - 1)) for p in points}
-    ranks = ranked_values(rows, group, value, picks)
-    means = rows.groupBy(*group).agg(F.avg(value).alias("mean"))
-    return ranks.join(means, group)
+    return ranked_values(rows, group, value, {f"p{p:g}".replace(".", "_"): F.floor(F.lit(p / 100) * (F.col("n") - 1)) for p in points})
 
 
 def op_summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, mean, p95 and p99 of each operation, ranks being floor(n * p)."""
-    picks = {"p95": F.floor(F.col("n") * 0.95), "p99": F.floor(F.col("n") * 0.99)}
-    return ranked_values(rows, group, value, picks).join(rows.groupBy(*group).agg(F.avg(value).alias("mean")), group)
+    return ranked_values(rows, group, value, {"p95": F.floor(F.col("n") * 0.95), "p99": F.floor(F.col("n") * 0.99)})
 
 
 def rate(rows: DataFrame, time: str = "ts", width: str = "1 second") -> DataFrame:
