@@ -8,8 +8,10 @@ probabilities and back-off weights by joins; the model is a durable table that
 grows with the corpus.  For scoring, a language's n-grams of one order are a
 sorted array of hashes with arrays of log-probabilities beside it.  Up to
 ``BROADCAST_GRAMS`` n-grams the driver works out the same numbers from the
-counts and broadcasts the arrays; a larger model is joined with the distinct
-n-grams of each chunk of texts.
+counts and broadcasts the arrays.  A larger model is dealt out to buckets: a chunk
+of texts sends each bucket an array of its distinct n-grams and gets an array of
+prices back, first in its texts' own languages, where no n-gram is absent, and then,
+for the texts that are off, in every language.
 
 A text's score is its bits a byte less the bits that its language's model has
 on average, at order ``ORDER`` and, from the same look-up, at order ``LOW``.
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import U, blocks, covered, gather, mix, rolling, span_hash, utf8, window_mask, words
+from ._chunks import LEAST_BUCKETS, buckets
 from ._common import arrow, durable, forget, small
 
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
@@ -63,8 +66,8 @@ FAR, RUN = 0.1, 1
 BLOCK = 1 << 19
 #: Languages up to which their bands are broadcast (four numbers each).
 BROADCAST_BANDS = 10_000
-#: Bytes of text in a chunk where the model is joined.
-CHUNK = 1 << 20
+#: Bytes of rows in a chunk at about most where the model is dealt out, and n-grams of order ORDER in a bucket.
+CHUNK, BUCKET = 1 << 23, 1 << 17
 SCORES = ["high", "low", "other_high", "other_low"]
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -178,7 +181,7 @@ def trained(top: DataFrame) -> DataFrame:
         model = before.withColumn("order", F.lit(n)) if n == 1 else model.unionByName(before.withColumn("order", F.lit(n)))
     out = model.join(weight, ["own", "order", "code"], "left")
     log = lambda c: F.log2(F.greatest(c, F.lit(1e-30))).cast("float")
-    out = durable(out.select("own", "order", "code", "c", log(F.col("p")).alias("logp"), log(F.col("low")).alias("low"), F.coalesce(log(F.col("bow")), F.lit(0.0)).cast("float").alias("bow")), "model")
+    out = durable(out.select("own", "order", "code", "c", log(F.col("p")).alias("logp"), log(F.col("low")).alias("low"), F.when(F.col("bow").isNull(), 0.0).otherwise(log(F.col("bow"))).cast("float").alias("bow")), "model")
     for table in (levels, shares, *steps):
         forget(table)
     return out
@@ -297,13 +300,14 @@ class Scorer:
                 so_far[k] += sums[-1]
         return np.diff(out, axis=1) if len(edges) else out
 
-    def scores(self, own: str, data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-        """Of each document: bits a byte, high, low; and of one that is off, the other language that fits it best, with its scores."""
+    def scores(self, own: str, data: np.ndarray, off: np.ndarray, others: bool = True) -> dict[str, np.ndarray]:
+        """Of each document: bits a byte, high, low, far (if it is off); and of one that is off, if ``others``, the other language that fits it best, with its scores."""
         size = np.diff(off)
         bits = self.total(own, data, off, off) / np.maximum(size, 1)
         score = np.where(size > 0, bits - np.array(self.bits.get(own, (8.0, 8.0)))[:, None], 0)
         out = {"bits": bits[0], "high": score[0], "low": score[1], "other": np.full(len(size), None, object), "other_high": np.zeros(len(size)), "other_low": np.zeros(len(size))}
-        far = np.flatnonzero((np.abs(score) > FAR).any(axis=0))
+        out["far"] = (np.abs(score) > FAR).any(axis=0)
+        far = np.flatnonzero(out["far"] & others)
         ends = np.concatenate([[0], np.cumsum(size[far])])
         for a, b in blocks(ends, BLOCK):
             here = far[a:b]
@@ -339,26 +343,16 @@ class Scorer:
         return out | {"other_high": whole[fit, 0, each], "other_low": whole[fit, 1, each]}
 
 
-def _grouped(rows: pa.Table, by: str):
-    """(own, the value of ``by``, rows as arrays) of each group of a table."""
+def _grouped(rows: pa.Table):
+    """(own, rows as arrays) of each language of a table."""
     owns = rows["own"].combine_chunks().dictionary_encode()
     owns = owns.combine_chunks() if isinstance(owns, pa.ChunkedArray) else owns
-    kind = rows[by].to_numpy() if by else np.zeros(rows.num_rows, np.int64)
-    group = owns.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (ORDER + 1) + kind
+    group = owns.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     sort = np.argsort(group)
     columns = {c: rows[c].to_numpy()[sort] for c in rows.column_names if c != "own"}
     edge = np.flatnonzero(np.diff(group[sort], prepend=-1))
     for a, b in zip(edge, [*edge[1:], len(sort)]):
-        k, n = divmod(int(group[sort[a]]), ORDER + 1)
-        yield owns.dictionary[k].as_py(), n, {c: x[a:b] for c, x in columns.items()}
-
-
-def tables_of(rows: pa.Table) -> dict[str, dict[int, Sorted]]:
-    """Arrays of a model's rows."""
-    out: dict[str, dict[int, Sorted]] = {}
-    for own, n, at in _grouped(rows, "order"):
-        out.setdefault(own, {})[n] = Sorted(at["code"], at["logp"], at["low"], at["bow"])
-    return out
+        yield owns.dictionary[int(group[sort[a]])].as_py(), {c: x[a:b] for c, x in columns.items()}
 
 
 def average_bits(model: DataFrame) -> dict[str, tuple[float, float]]:
@@ -416,21 +410,22 @@ def repeats(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scored(batch, lang_at: int, text_at: int, carried: list[int], scorer: Scorer) -> pa.RecordBatch:
-    """row (the carried columns), own, other, measures, perplexity and scores in steps."""
+def _scored(batch, lang_at: int, text_at: int, carried: list[int], scorer: Scorer, others: bool = True) -> tuple[pa.RecordBatch, np.ndarray]:
+    """row (the carried columns), own, other, measures, perplexity and scores in steps; and which documents are off their language."""
     langs, texts = (batch.column(i).cast(pa.string()) for i in (lang_at, text_at))
     data, off = utf8(texts)
     parts = [measures(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in blocks(off, BLOCK)]
     found = [np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]).astype(np.int64) for k in MEASURES]
-    found_at = {"bits": np.zeros(batch.num_rows), **{k: np.zeros(batch.num_rows) for k in SCORES}, "own": np.full(batch.num_rows, "", object), "other": np.full(batch.num_rows, None, object)}
+    found_at = {"bits": np.zeros(batch.num_rows), **{k: np.zeros(batch.num_rows) for k in SCORES}, "own": np.full(batch.num_rows, "", object), "other": np.full(batch.num_rows, None, object), "far": np.zeros(batch.num_rows, bool)}
     for own, at in _languages(langs):
         found_at["own"][at] = own
-        for k, values in scorer.scores(own, *utf8(texts.take(pa.array(at)))).items():
+        for k, values in scorer.scores(own, *utf8(texts.take(pa.array(at))), others).items():
             found_at[k][at] = values
     steps = [pa.array(np.rint(found_at[k] * BINS).astype(np.int64)) for k in SCORES]
     names = [pa.array(found_at[k], pa.string()) for k in ("own", "other")]
     row = pa.StructArray.from_arrays([batch.column(i) for i in carried], fields=[batch.schema.field(i) for i in carried])
-    return pa.RecordBatch.from_arrays([row, *names, *map(pa.array, found), pa.array(np.exp2(found_at["bits"])), *steps], ["row", "own", "other", *MEASURES, "perplexity", *SCORES])
+    out = pa.RecordBatch.from_arrays([row, *names, *map(pa.array, found), pa.array(np.exp2(found_at["bits"])), *steps], ["row", "own", "other", *MEASURES, "perplexity", *SCORES])
+    return out, found_at["far"]
 
 
 def scored(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", columns: list[str] | None = None) -> DataFrame:
@@ -441,9 +436,10 @@ def scored(docs: DataFrame, text_column: str = "text", lang_column: str = "lang"
     carried = [docs.columns.index(c) for c in columns or docs.columns]
     fields = [("row", T.StructType([docs.schema.fields[i] for i in carried])), ("own", T.StringType()), ("other", T.StringType()), *[(k, T.LongType()) for k in MEASURES], ("perplexity", T.DoubleType()), *[(k, T.LongType()) for k in SCORES]]
     schema = T.StructType([T.StructField(k, t) for k, t in fields])
-    if top.count() <= BROADCAST_GRAMS:
+    size = top.count()
+    if size <= BROADCAST_GRAMS:
         tables, usual = {}, {}
-        for own, _, at in _grouped(top.toArrow(), ""):
+        for own, at in _grouped(top.toArrow()):
             levels, usual[own] = kneser_ney(at["code"], at["c"])
             tables[own] = {n: Sorted(*level) for n, level in levels.items()}
         shared = docs.sparkSession.sparkContext.broadcast(tables)
@@ -451,63 +447,188 @@ def scored(docs: DataFrame, text_column: str = "text", lang_column: str = "lang"
         def run(batches):
             scorer = Scorer(shared.value, usual)
             for batch in batches:
-                yield _scored(batch, lang_at, text_at, carried, scorer)
+                yield _scored(batch, lang_at, text_at, carried, scorer)[0]
 
         out = durable(arrow(docs, run, schema), "scored")
         shared.destroy()
     else:
-        model = trained(top)
-        rows = model.select("own", "order", "code", "logp", "low", "bow")
-        out = durable(_joined(docs, rows, average_bits(model), lang_at, text_at, carried, schema), "scored")
+        model, n = trained(top), max(LEAST_BUCKETS, -(-size // BUCKET))
+        usual = average_bits(model)
+        own = model.where(F.col("order") == ORDER).select("own", "code", (-F.col("logp")).alias("high"), (-F.col("low")).alias("low"))
+        first = _dealt_out(docs, own, n, usual, lang_at, text_at, carried, schema, False)
+        out, far = first.where("whole is null").drop("whole"), first.where("whole is not null").select("whole.*")
+        if not small(far, 0):
+            prices = everywhere(model, sorted(usual))
+            out = out.unionByName(_dealt_out(far, prices, n, usual, lang_at, text_at, carried, schema, True))
+            forget(prices)
         forget(model)
     forget(top)
     return out
 
 
-def _joined(docs: DataFrame, rows: DataFrame, usual: dict, lang_at: int, text_at: int, carried: list[int], schema) -> DataFrame:
-    """The same for any size of the model: a chunk of texts gets the rows of its own n-grams."""
+def everywhere(model: DataFrame, owns: list[str]) -> DataFrame:
+    """own, code, high, low: bits of every n-gram of order ORDER in every language, with back-off where the language lacks it.  A durable table."""
+    before = None
+    for n in range(1, ORDER + 1):
+        level = model.where(F.col("order") == n)
+        pairs = level.select("code").distinct().withColumn("own", F.explode(F.lit(owns)))
+        now = pairs.join(level.select("own", "code", "logp", F.col("low").alias("logp_low")), ["own", "code"], "left")
+        if n == 1:  # a byte that the language lacks
+            high = low = F.lit(8.0)
+        else:
+            now = now.withColumn("ctx", F.shiftright("code", 8)).withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)))
+            weight = model.where(F.col("order") == n - 1).select("own", F.col("code").alias("ctx"), "bow")
+            now = now.join(weight, ["own", "ctx"], "left").join(before.withColumnRenamed("code", "suffix"), ["own", "suffix"], "left")
+            spent = F.coalesce("bow", F.lit(0.0))
+            high, low = F.col("high") - spent, F.col("low") - spent if n <= LOW else F.col("low")
+        now = durable(now.select("own", "code", F.coalesce(-F.col("logp"), high).cast("double").alias("high"), F.coalesce(-F.col("logp_low"), low).cast("double").alias("low")), f"prices{n}")
+        if before is not None:
+            forget(before)
+        before = now
+    return before
+
+
+def _by_bucket(code: np.ndarray, n: int):
+    """(bucket, places) of each bucket that has any of these n-grams; places stay in order."""
+    at = buckets(mix(code), n)
+    order = np.argsort(at, kind="stable")
+    edge = np.flatnonzero(np.diff(at[order], prepend=-1))
+    for a, b in zip(edge, [*edge[1:], len(order)]):
+        yield int(at[order[a]]), order[a:b]
+
+
+def _pressed(code: np.ndarray) -> bytes:
+    """Ascending n-grams in few bytes."""
+    return pa.compress(np.diff(code, prepend=U(0)).tobytes(), "zstd", asbytes=True)
+
+
+def _unpressed(body: bytes, size: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(body, decompressed_size=8 * size, codec="zstd"), U), dtype=U)
+
+
+#: Of what the buckets get: n-grams of the model with their prices (chunk -1), and of a chunk without (own null: in every language).
+SENT = ["bucket", "chunk", "own", "size", "codes", "prices"]
+SENT_TYPES = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
+SENT_SCHEMA = "bucket int, chunk bigint, own string, size int, codes binary, prices binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), SENT_TYPES)], SENT)
+
+
+def _dealt_out(docs: DataFrame, prices: DataFrame, n: int, usual: dict, lang_at: int, text_at: int, carried: list[int], schema, others: bool) -> DataFrame:
+    """The same for any size of the model, by ``n`` buckets of ``prices`` (own, code, high, low).  A durable table.
+
+    Without ``others`` texts are priced in their own language only, and those
+    that are off are given back in ``whole`` (a struct of all columns), else null.
+    """
 
     def cut(batches):
         from pyspark import TaskContext
 
-        task, seq = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            _, off = utf8(batch.column(text_at).cast(pa.string()))
-            for a, b in blocks(off, CHUNK):
-                part = batch.slice(a, b - a)
-                row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
-                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | seq] * len(row), pa.int64()), row], ["chunk", "row"])
-                seq += 1
+        task, seq, parts = TaskContext.get().partitionId(), 0, []
 
-    held = durable(arrow(docs, cut, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("row", docs.schema)])), "held")
+        def chunk():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for part in parts:
+                    stream.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
 
-    def needed(batches):
         for batch in batches:
-            data, off = utf8(batch.column(1).cast(pa.string()))
-            chunk = batch.column(0).to_numpy()
-            edge = np.flatnonzero(np.diff(chunk, prepend=-1))
-            for a, b in zip(edge, [*edge[1:], len(chunk)]):
-                codes = np.unique(grams(data[off[a] : off[b]], off[a : b + 1] - off[a], 0, int(off[b] - off[a]))) if off[b] > off[a] else np.zeros(0, U)
-                for n in range(ORDER, 0, -1):
-                    codes = np.unique(codes & U((1 << 8 * n) - 1))
-                    here = codes if n == ORDER else np.unique(np.concatenate([codes, contexts]))
-                    contexts = np.unique(here >> U(8))
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk[a]] * len(here), pa.int64()), pa.array([n] * len(here), pa.int32()), pa.array(here.astype(np.int64))], ["chunk", "order", "code"])
-
-    text = held.select("chunk", F.col("row").getField(docs.columns[text_at]).cast("string").alias("text"))
-    own = arrow(text, needed, "chunk bigint, order int, code bigint").distinct().join(rows, ["order", "code"])
-
-    def score(docs_of, grams_of):
-        scorer = Scorer(tables_of(grams_of) if grams_of.num_rows else {}, usual)
-        for batch in docs_of.select(["row"]).to_batches():
-            column = batch.column(0)
-            plain = pa.RecordBatch.from_arrays([pc.struct_field(column, [i]) for i in range(column.type.num_fields)], [f.name for f in column.type])
-            yield _scored(plain, lang_at, text_at, carried, scorer)
-
-    def whole(docs_of, grams_of):
-        return pa.Table.from_batches(list(score(docs_of, grams_of)))
-
-    return held.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(whole, schema)
+            _, off = utf8(batch.column(text_at).cast(pa.string()))
+            for a, b in blocks(off, BLOCK):
+                parts.append(batch.slice(a, b - a))
+                if sum(part.nbytes for part in parts) >= CHUNK:
+                    yield chunk()
+                    seq, parts = seq + 1, []
+        if parts:
+            yield chunk()
+
+    def asked(batches):
+        for chunk, body in ((c, b) for batch in batches for c, b in zip(*(x.to_pylist() for x in batch.columns))):
+            held: dict[str | None, list] = {}
+            for part in pa.ipc.open_stream(body):
+                langs, texts = (part.column(i).cast(pa.string()) for i in (lang_at, text_at))
+                for own, at in [(None, np.arange(part.num_rows))] if others else _languages(langs):
+                    data, off = utf8(texts.take(pa.array(at)))
+                    for a in range(0, len(data), BLOCK):
+                        held.setdefault(own, []).append(np.unique(grams(data, off, a, min(a + BLOCK, len(data)))))
+                        if sum(map(len, held[own])) > HELD:
+                            held[own] = [np.unique(np.concatenate(held[own]))]
+            rows = []
+            for own, codes in held.items():
+                code = np.unique(np.concatenate(codes))
+                rows += [(bucket, chunk, own, len(at), _pressed(code[at]), None) for bucket, at in _by_bucket(code, n)]
+            if rows:
+                yield _rows(rows)
+
+    def packed(batches):
+        for batch in batches:
+            rows = []
+            for own, at in _grouped(pa.Table.from_batches([batch])):
+                order = np.argsort(at["code"])
+                code, price = at["code"][order].astype(U), np.stack([at["high"], at["low"]]).astype(np.float32)[:, order]
+                rows += [(bucket, -1, own, len(x), _pressed(code[x]), price[:, x].tobytes()) for bucket, x in _by_bucket(code, n)]
+            if rows:
+                yield _rows(rows)
+
+    def sealed(parts):
+        """A bucket's n-grams in order with their prices; one that it lacks has the price behind the last."""
+        known, price = (np.concatenate(x, axis=-1) for x in zip(*parts))
+        order = np.argsort(known)
+        return np.append(known[order], ~U(0)), np.append(price[:, order], np.full((2, 1), 8, np.float32), axis=1)
+
+    def answered(batches):
+        now, parts, model = None, {}, {}
+        for batch in batches:
+            rows = []
+            for bucket, chunk, own, size, codes, price in zip(*(x.to_pylist() for x in batch.columns)):
+                if bucket != now:
+                    now, parts, model = bucket, {}, {}
+                code = _unpressed(codes, size)
+                if chunk < 0:  # these come first
+                    parts.setdefault(own, []).append((code, np.frombuffer(price, np.float32).reshape(2, -1)))
+                    continue
+                model |= {name: sealed(parts.pop(name)) for name in list(parts)}
+                for name in model if own is None else [own] if own in model else []:
+                    known, price = model[name]
+                    at = np.searchsorted(known, code)
+                    rows.append((bucket, chunk, name, size, codes, price[:, np.where(known[at] == code, at, -1)].tobytes()))
+            if rows:
+                yield _rows(rows)
+
+    def score(docs_of, answers):
+        tables: dict[str, list] = {}
+        for own, size, codes, price in zip(*(answers[c].to_pylist() for c in ("own", "size", "codes", "prices"))):
+            tables.setdefault(own, []).append((_unpressed(codes, size), np.frombuffer(price, np.float32).reshape(2, -1)))
+        for own, parts in tables.items():
+            code, price = (np.concatenate(x, axis=-1) for x in zip(*parts))
+            tables[own] = {ORDER: Sorted(code, -price[0], -price[1], np.zeros(len(code)))}
+        scorer = Scorer(tables, usual)
+        for body in docs_of["body"]:
+            for batch in pa.ipc.open_stream(body.as_buffer()):
+                out, far = _scored(batch, lang_at, text_at, carried, scorer, others)
+                if others:
+                    yield out
+                    continue
+                whole = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+                names, near, far = [*out.schema.names, "whole"], out.filter(pa.array(~far)), whole.filter(pa.array(far))
+                yield pa.RecordBatch.from_arrays([*near.columns, pa.nulls(near.num_rows, whole.type)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(far), f.type) for f in out.schema), far], names)
+
+    def told(docs_of, answers):
+        return pa.Table.from_batches(list(score(docs_of, answers)))
+
+    held = durable(arrow(docs, cut, "chunk bigint, body binary"), "held")
+    sent = arrow(prices.select("own", "code", "high", "low"), packed, SENT_SCHEMA, 1 << 16).unionByName(arrow(held, asked, SENT_SCHEMA))
+    sorted_ = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
+    answers = arrow(sorted_, answered, SENT_SCHEMA, 64).select("chunk", "own", "size", "codes", "prices")
+    if not others:
+        schema = T.StructType([*schema.fields, T.StructField("whole", docs.schema)])
+    out = durable(held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(told, schema), "scored")
+    forget(held)
+    return out
 
 
 def _histogram(rows: DataFrame) -> DataFrame:
