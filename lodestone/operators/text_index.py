@@ -6,6 +6,8 @@ row groups of its query terms; every search prunes to them before anything else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,39 @@ from ..functions.text import query_tokens, tokens
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", drop_numbers: bool = False) -> DataFrame:
+def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", drop_numbers: bool = False, once: bool = False) -> DataFrame:
     """term, doc, freq, positions, doc_len, doc_terms: position and length count tokens after stop words.
 
-    One document's terms are aggregated by (doc, term); no term is gathered in one place.
+    A row's postings are made within the row and go nowhere.  Where rows may share a document,
+    those of one term and document are then put together; ``once`` says that no two rows do.
     """
     words = docs.select(F.col(doc).alias("doc"), tokens(F.col(text), drop_numbers).alias("words"))
-    sized = words.select("doc", "words", F.size("words").alias("doc_len"), F.size(F.array_distinct("words")).alias("doc_terms"))
-    each = sized.select("doc", "doc_len", "doc_terms", F.posexplode("words").alias("position", "term"))
-    return each.groupBy("term", "doc", "doc_len", "doc_terms").agg(F.count(F.lit(1)).alias("freq"), F.sort_array(F.collect_list("position")).alias("positions"))
+    sized = words.select("doc", F.size("words").alias("doc_len"), F.size(F.array_distinct("words")).alias("doc_terms"), _places("words").alias("terms"))
+    each = sized.select("doc", "doc_len", "doc_terms", F.inline("terms")).select("term", "doc", "doc_len", "doc_terms", F.size("positions").cast("bigint").alias("freq"), "positions")
+    if once:
+        return each
+    largest = [F.max(c).alias(c) for c in ("doc_len", "doc_terms")]
+    return each.groupBy("term", "doc").agg(*largest, F.sum("freq").alias("freq"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
+def _places(words: str) -> Column:
+    """Each different word with its places in order: words sorted with their places, cut where the word changes."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("position"))))
+
+    def cut(at: Column) -> Column:
+        starts = F.filter(F.transform(at, lambda x, i: i), lambda i: ~F.get(at, i)["term"].eqNullSafe(F.get(at, i - 1)["term"]))
+        return _bound(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(at, i)["term"].alias("term"), _run(at, i, F.coalesce(F.get(s, k + 1), F.size(at))).alias("positions"))))
+
+    return _bound(placed, cut)
+
+
+def _run(at: Column, start: Column, end: Column) -> Column:
+    return F.transform(F.slice(at, start + 1, end - start), lambda x: x["position"])
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: a lambda's variable, since a column is put into a lambda's body as its expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def save(index: DataFrame, path: str) -> None:
