@@ -20,7 +20,7 @@ def shuffled(spark):
     return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
 
 
-@pytest.mark.parametrize("name", ["search_all_index_terms"])
+@pytest.mark.parametrize("name", ["search_all_index_terms", "rank_tfidf"])
 def test_index_is_built_without_a_shuffle_of_postings(spark, sf_dir, tmp_path, name):
     """A copy of the table is not known to the session, so its index is built here."""
     shutil.copy(f"{sf_dir}/documents.parquet", tmp_path / "documents.parquet")
