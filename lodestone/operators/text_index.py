@@ -80,8 +80,8 @@ def document_stats(index: DataFrame, documents: int | None = None) -> DataFrame:
     """
     terms = index.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.sum("freq").alias("tokens"))
     out = terms.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("postings"), F.lit(0)).alias("postings"), F.sum("tokens").alias("tokens"))
-    seen = F.lit(documents).cast("bigint") if documents is not None else index.select("doc").distinct().agg(F.count(F.lit(1))).scalar()
-    return out.select(seen.alias("documents"), "terms", "postings", "tokens").withColumn("average_length", F.col("tokens") / F.col("documents"))
+    seen = F.lit(documents).cast("bigint") if documents is not None else index.select("doc").distinct().agg(F.count("doc")).scalar()
+    return out.select(seen.alias("documents"), "terms", "postings", "tokens").withColumn("average_length", F.try_divide("tokens", "documents"))
 
 
 def all_terms(index: DataFrame) -> DataFrame:

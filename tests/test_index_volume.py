@@ -20,7 +20,7 @@ def shuffled(spark):
     return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
 
 
-@pytest.mark.parametrize("name", ["search_all_index_terms", "rank_tfidf"])
+@pytest.mark.parametrize("name", ["search_all_index_terms", "rank_tfidf", "token_stats"])
 def test_index_is_built_without_a_shuffle_of_postings(spark, sf_dir, tmp_path, name):
     """A copy of the table is not known to the session, so its index is built here."""
     shutil.copy(f"{sf_dir}/documents.parquet", tmp_path / "documents.parquet")
@@ -34,7 +34,7 @@ def test_index_is_built_without_a_shuffle_of_postings(spark, sf_dir, tmp_path, n
 ROWS = [(1, "license public license zeta"), (1, "license version"), (2, "public"), (2, "public"), (3, ""), (4, None), (None, "idiot one"), (None, "idiot"), (5, "of the and")]
 
 
-@pytest.mark.parametrize("name", ["search_all_index_terms", "search_all_terms", "search_phrase", "search_posting_list"])
+@pytest.mark.parametrize("name", ["search_all_index_terms", "token_stats", "search_all_terms", "search_phrase", "search_posting_list"])
 def test_documents_in_several_rows(spark, tmp_path, name):
     spark.createDataFrame(ROWS, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
