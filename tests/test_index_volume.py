@@ -20,7 +20,7 @@ def shuffled(spark):
     return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
 
 
-@pytest.mark.parametrize("name", ["search_all_index_terms", "rank_tfidf", "token_stats"])
+@pytest.mark.parametrize("name", ["search_all_index_terms", "rank_tfidf", "token_stats", "common_terms"])
 def test_index_is_built_without_a_shuffle_of_postings(spark, sf_dir, tmp_path, name):
     """A copy of the table is not known to the session, so its index is built here."""
     shutil.copy(f"{sf_dir}/documents.parquet", tmp_path / "documents.parquet")
@@ -45,6 +45,12 @@ def test_documents_in_several_rows(spark, tmp_path, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_common_terms_count_a_document_of_several_rows_once(spark, tmp_path):
+    rows = [(i % 100, f"common word{i}" + " longer" * (i // 100)) for i in range(150)]  # 100 documents have common, 50 have longer
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in catalog.QUERIES["common_terms"](spark, str(tmp_path)).collect()] == [("common", 100)]
+
+
 def test_postings_of_a_row(spark):
     rows = spark.createDataFrame([("a", "zeta beta Zeta, alpha beta zeta"), ("b", "the"), ("c", None)], "doc_id string, text string")
     want = {("alpha", "a", 6, 3, 1, (3,)), ("beta", "a", 6, 3, 2, (1, 4)), ("zeta", "a", 6, 3, 3, (0, 2, 5))}
