@@ -242,7 +242,7 @@ def point_read_by_bloom(spark, d):
 @query("SELECT * FROM (VALUES ('gzip', true), ('lz4', true), ('none', false), ('snappy', true), ('zstd', true)) AS t(codec, smaller)")
 def codec_comparison(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", F.repeat("l_returnflag", 20).alias("text"))
-    sizes = files.codec_sizes(rows.coalesce(1), folder(spark, "codecs"))
+    sizes = files.codec_sizes(rows, folder(spark, "codecs"))
     return spark.createDataFrame([(c, n < sizes["none"]) for c, n in sizes.items()], "codec string, smaller boolean")
 
 

@@ -77,7 +77,7 @@ def keyed(rows: DataFrame, path: str, codec: str = "snappy", key: str = "key") -
 
 
 def codec_sizes(rows: DataFrame, path: str, codecs: tuple[str, ...] = ("none", "snappy", "lz4", "gzip", "zstd")) -> dict[str, int]:
-    """Bytes of a table under each codec, by writing it below ``path``."""
+    """Bytes of a table under each codec, by writing it below ``path`` in the tasks that read it."""
     spark, out = rows.sparkSession, {}
     for codec in codecs:
         rows.write.mode("overwrite").option("compression", codec).parquet(f"{path}/{codec}")
