@@ -7,6 +7,7 @@ windows anchored at the data, which late events cannot reopen.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import scratch
 from .pipeline import EVENT
 
 
@@ -97,7 +99,21 @@ def sync(events: DataFrame, targets: list[Callable[[DataFrame], None]], checkpoi
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming table to the end of what is there, into a memory table (for tests and small tools)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a streaming table to the end of what is there, into Parquet files below :func:`lodestone.session.scratch`; ``name`` is a view of them.
+
+    Executors write each micro-batch into a folder of its number, over what a failed attempt left
+    there; a batch in complete mode holds the whole result and takes the place of the one before.
+    """
+    spark, path, folders = stream.sparkSession, f"{scratch(stream.sparkSession)}/drained-{uuid.uuid4().hex}", []
+
+    def put(batch: DataFrame, number: int) -> None:
+        folder = f"{path}/rows/{0 if mode == 'complete' else number}"
+        batch.write.mode("overwrite").parquet(folder)
+        if folder not in folders:
+            folders.append(folder)
+
+    query = stream.writeStream.foreachBatch(put).queryName(name).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = spark.read.schema(stream.schema).parquet(*folders) if folders else spark.createDataFrame([], stream.schema)
+    out.createOrReplaceTempView(name)
+    return out
