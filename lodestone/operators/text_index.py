@@ -25,7 +25,9 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", drop_numb
     """
     words = docs.select(F.col(doc).alias("doc"), tokens(F.col(text), drop_numbers).alias("words"))
     sized = words.select("doc", F.size("words").alias("doc_len"), F.size(F.array_distinct("words")).alias("doc_terms"), _places("words").alias("terms"))
-    each = sized.select("doc", "doc_len", "doc_terms", F.inline("terms")).select("term", "doc", "doc_len", "doc_terms", F.size("positions").cast("bigint").alias("freq"), "positions")
+    # Not inline, whose rows Spark filters by terms' size before: all of a row would be worked out twice.
+    found = sized.select("doc", "doc_len", "doc_terms", F.inline_outer("terms")).where("term IS NOT NULL")
+    each = found.select("term", "doc", "doc_len", "doc_terms", F.size("positions").cast("bigint").alias("freq"), "positions")
     if once:
         return each
     largest = [F.max(c).alias(c) for c in ("doc_len", "doc_terms")]

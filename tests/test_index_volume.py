@@ -58,3 +58,8 @@ def test_postings_of_a_row(spark):
         index = text_index.postings(rows, once=once)
         assert dict(index.dtypes)["freq"] == "bigint" and index.columns == ["term", "doc", "doc_len", "doc_terms", "freq", "positions"]
         assert {(r["term"], r["doc"], r["doc_len"], r["doc_terms"], r["freq"], tuple(r["positions"])) for r in index.collect()} == want
+
+
+def test_a_text_is_tokenized_once(spark):
+    rows = spark.createDataFrame([("a", "zeta beta")], "doc_id string, text string")
+    assert text_index.postings(rows, once=True)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
